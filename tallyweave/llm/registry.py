@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import bpe
+from tallyweave.llm import bpe, chat, line_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op4_line_dedup": line_dedup.query,
+    "op9_chat": chat.query,
     "op10_bpe": bpe.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op9_chat": chat.ORACLE,
+}
 
 
 def queries() -> dict[str, Query]:
