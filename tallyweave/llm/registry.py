@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import bpe, chat, line_dedup
+from tallyweave.llm import bpe, chat, line_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": toxicity.query,
     "op4_line_dedup": line_dedup.query,
     "op9_chat": chat.query,
     "op10_bpe": bpe.query,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_toxicity": toxicity.query,
     "op4_line_dedup": line_dedup.ORACLE,
     "op9_chat": chat.ORACLE,
 }
