@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import bpe, chat, line_dedup, toxicity
+from tallyweave.llm import bpe, chat, line_dedup, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": toxicity.query,
     "op4_line_dedup": line_dedup.query,
+    "op6_quality": quality.query,
     "op9_chat": chat.query,
     "op10_bpe": bpe.query,
 }
