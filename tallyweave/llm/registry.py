@@ -6,21 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import bpe, chat, line_dedup, quality, toxicity
+from tallyweave.llm import bpe, chat, line_dedup, mixing, quality, sketch, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": toxicity.query,
+    "op3_sketch": sketch.query,
     "op4_line_dedup": line_dedup.query,
     "op6_quality": quality.query,
+    "op8_mixing": mixing.query,
     "op9_chat": chat.query,
     "op10_bpe": bpe.query,
 }
 
 ORACLES: dict[str, str] = {
-    "op1_toxicity": toxicity.query,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op8_mixing": mixing.ORACLE,
     "op9_chat": chat.ORACLE,
 }
 
