@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import bpe, chat, line_dedup, mixing, quality, sketch, toxicity
+from tallyweave.llm import bpe, chat, jaccard, line_dedup, mixing, quality, sketch, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": toxicity.query,
+    "op2_jaccard": jaccard.query,
     "op3_sketch": sketch.query,
     "op4_line_dedup": line_dedup.query,
     "op6_quality": quality.query,
