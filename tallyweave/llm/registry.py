@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import bpe, chat, jaccard, line_dedup, mixing, quality, sketch, toxicity
+from tallyweave.llm import bpe, chat, jaccard, line_dedup, mixing, quality, sketch, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op2_jaccard": jaccard.query,
     "op3_sketch": sketch.query,
     "op4_line_dedup": line_dedup.query,
+    "op5_urls": urls.query,
     "op6_quality": quality.query,
     "op8_mixing": mixing.query,
     "op9_chat": chat.query,
