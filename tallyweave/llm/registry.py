@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import bpe, chat, jaccard, line_dedup, mixing, quality, sketch, toxicity, urls
+from tallyweave.llm import bpe, chat, jaccard, line_dedup, media, mixing, quality, sketch, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ QUERIES: dict[str, Query] = {
     "op4_line_dedup": line_dedup.query,
     "op5_urls": urls.query,
     "op6_quality": quality.query,
+    "op7_media": media.query,
     "op8_mixing": mixing.query,
     "op9_chat": chat.query,
     "op10_bpe": bpe.query,
