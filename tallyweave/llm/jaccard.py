@@ -379,5 +379,18 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_i
     )
 
 
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without near-duplicates: of each class the row with the smallest id stays, and rows without an id.
+
+    Of rows that repeat both id and text one stays.
+    """
+    found = classes(docs, k, percent, id_col, text_col)
+    gone = found.where("component_id <> id").select(F.col("id").alias("gone_id")).distinct()
+    kept = docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("m")).where("m > 1").select(F.col(id_col).alias("again_id"))
+    hits = F.col(id_col) == F.col("again_id")
+    return kept.join(again, hits, "left_anti").unionByName(kept.join(again, hits, "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyweave.llm import bpe, chat, jaccard, line_dedup, media, mixing, quality, sketch, toxicity, urls
@@ -21,9 +22,11 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": mixing.query,
     "op9_chat": chat.query,
     "op10_bpe": bpe.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
+    **({} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}),
     "op4_line_dedup": line_dedup.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op9_chat": chat.ORACLE,
