@@ -37,7 +37,7 @@ from tallyweave.llm.common import materialize, pieces, table
 from tallyweave.llm.components import connected
 
 #: Documents and characters of a block; a block's documents are numbered by 16 bits.
-BLOCK_DOCS, BLOCK_CHARS = 60_000, 12_000_000
+BLOCK_DOCS, BLOCK_CHARS = 60_000, 6_000_000
 CACHE_WORDS = 400_000
 #: Prefix shingles held by more groups than this chain them.
 CHAIN_FROM = 48
@@ -349,7 +349,7 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_i
     ``set_id`` is the smallest id with an equal set, ``set_links`` the number of other sets it links with.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    shards = pieces(rows, 12 << 20, least=4, most=8192)
+    shards = pieces(rows, 4 << 20, least=4)
     sets = materialize(_sets(_repeated(_pack(rows, k, shards)), percent))
     able = sets.where("shared IS NOT NULL")
     # Equal sets collapse; sums of small columns, so a text copied a million times is one row a task.
