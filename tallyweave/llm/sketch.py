@@ -87,19 +87,19 @@ def fingerprint(s: Column) -> Column:
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
-    """``doc_id, key, next_id, next_key`` in order of (doc_id, key), the last followed by the first.
+    """Each of the distinct ``keys`` with ``next_key, next_key2``, in order of (doc_id, key), the last followed by the first.
 
     Keys are range-partitioned; each partition looks ahead within itself, and only one row for each
     partition is compared across partitions.
     """
-    ranged = keys.repartitionByRange(pieces(keys, 4 << 20), "doc_id", "key").withColumn("part", F.spark_partition_id())
+    ranged = keys.repartitionByRange(pieces(keys, 4 << 20), "doc_id", "key", "key2").withColumn("part", F.spark_partition_id())
     ranged = materialize(ranged)
-    me = F.struct("doc_id", "key")
+    me = F.struct("doc_id", "key", "key2")
     starts = ranged.groupBy("part").agg(F.min(me).alias("start"))
     ends = starts.withColumn("after", F.coalesce(F.lead("start").over(Window.orderBy("part")), F.first("start").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    ahead = F.lead(me).over(Window.partitionBy("part").orderBy("doc_id", "key"))
+    ahead = F.lead(me).over(Window.partitionBy("part").orderBy("doc_id", "key", "key2"))
     rows = ranged.withColumn("ahead", ahead).join(ends.select("part", "after"), "part").withColumn("ahead", F.coalesce("ahead", "after"))
-    return rows.select("doc_id", "key", F.col("ahead.doc_id").alias("next_id"), F.col("ahead.key").alias("next_key"), "n_chars")
+    return rows.select("key", "key2", "n_chars", F.col("ahead.key").alias("next_key"), F.col("ahead.key2").alias("next_key2"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,15 +109,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     next document.  Texts are shuffled once, and at most half of each once more.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    keys = rows.select("doc_id", "key", F.length("text").alias("n_chars")).distinct()
-    links = neighbours(keys).hint("shuffle_merge")
-    texts = rows.withColumn("sketch", sketch(F.col("text"))).alias("t")
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    once = rows.dropDuplicates(["doc_id", "key"]).withColumn("sketch", sketch(F.col("text")))
-    heads = once.alias("o").join(links.alias("l"), (F.col("o.key") == F.col("l.next_key")) & same("o.doc_id", "l.next_id"))
-    heads = heads.select(F.col("l.doc_id"), F.col("l.key"), F.expr("substring(o.text, 1, l.n_chars div 2)").alias("head"), F.col("o.sketch").alias("next_sketch")).alias("h")
-    both = texts.join(heads, (F.col("t.key") == F.col("h.key")) & same("t.doc_id", "h.doc_id"))
+    rows = rows.withColumns({"key": F.xxhash64("doc_id", "text"), "key2": F.hash("text", "doc_id")})
+    links = neighbours(rows.select("doc_id", "key", "key2", F.length("text").alias("n_chars")).distinct()).hint("shuffle_merge")
+    texts = rows.withColumn("sketch", sketch(F.col("text")))
+    # The same shuffle of texts serves both joins; identical rows are one document to the one before them.
+    once = texts.withColumn("nth", F.count("*").over(Window.partitionBy("key", "key2").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))).where("nth = 1")
+    heads = once.alias("o").join(links.alias("l"), (F.col("o.key") == F.col("l.next_key")) & (F.col("o.key2") == F.col("l.next_key2")))
+    heads = heads.select(F.col("l.key"), F.col("l.key2"), F.expr("substring(o.text, 1, l.n_chars div 2)").alias("head"), F.col("o.sketch").alias("next_sketch"))
+    both = texts.alias("t").join(heads.alias("h"), (F.col("t.key") == F.col("h.key")) & (F.col("t.key2") == F.col("h.key2")))
     edited = F.concat(F.expr("substring(t.text, 1, length(t.text) - length(t.text) div 2)"), F.col("h.head"))
     out = both.select(F.col("t.doc_id"), F.length("t.text").cast("long").alias("n_chars"), F.col("t.sketch"), F.col("h.next_sketch"), edited.alias("edited"))
     return out.withColumn("edited_sketch", sketch(F.col("edited")))
