@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyweave.plans import scalar
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+MODULES = (scalar,)
+
+
+def _all() -> dict[str, tuple]:
+    return {name: pair for module in MODULES for name, pair in module.ALL.items()}
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").limit(0)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: run for name, (run, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: twin for name, (_, twin) in _all().items() if twin}
