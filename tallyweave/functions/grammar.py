@@ -18,6 +18,8 @@ PERCENT = r"^%([0-9]+(,[0-9]+)?)$"
 PERCENT_RANGE = r"^%([0-9]+(,[0-9]+)?)-%([0-9]+(,[0-9]+)?)$"
 LOST_GROUP = r"^[0-9]+(\.[0-9]{3})+$"
 BARE_DIGITS = r"^[0-9]{4,}$"
+#: INT, LOST_GROUP or BARE_DIGITS.
+WHOLE = r"^[0-9]+(\.[0-9]{3})*$"
 NUMERIC_TOKEN = r"^\(?[%0-9][0-9.,%()\-]*\)?$"
 UNIT_JUNK = r"\s*\([%©®°0-9o]{1,2}\)\s*$"
 LOOKALIKES, LOOKALIKE_DIGITS = "lIİiOoSB", "11110058"
@@ -100,13 +102,14 @@ def is_numeric_token(token: Column) -> Column:
 
 def is_money(token: Column) -> Column:
     """A dash, or a number that looks like an amount; bare years are headers, not amounts."""
-    t, v = strip(token), parse_number(token)
-    whole = F.abs(F.when(v["value"] < 0, F.ceil(v["value"])).otherwise(F.floor(v["value"])))
-    signed_whole = F.when(v["value"] < 0, F.ceil(v["value"])).otherwise(F.floor(v["value"]))
-    dotted, bracketed = F.contains(t, F.lit(".")), F.contains(t, F.lit("("))
-    year = ~dotted & signed_whole.between(*YEARS) & ~t.startswith("(")
-    amount = F.when(v["kind"].isin("percent", "percent_range", "decimal"), True).when(year, False).otherwise(dotted | bracketed | (whole >= 1000) | (t == "0"))
-    return F.coalesce(t.isin(*DASHES) | (t.rlike(NUMERIC_TOKEN) & (v["state"] == "number") & amount), F.lit(False))
+    t = strip(token)
+    core = F.when(t.startswith("(") & t.endswith(")"), strip(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+    marked = core.rlike("|".join((PERCENT_RANGE, PERCENT, DECIMAL)))
+    digits = F.ltrim(F.replace(core, F.lit("."), F.lit("")), F.lit("0"))
+    dotted = F.contains(t, F.lit("."))
+    year = ~dotted & ~t.startswith("(") & (F.length(digits) == 4) & digits.between(*map(str, YEARS))
+    whole = core.rlike(WHOLE) & ~year & (dotted | F.contains(t, F.lit("(")) | (F.length(digits) >= 4) | (t == "0"))
+    return F.coalesce(t.isin(*DASHES) | (t.rlike(NUMERIC_TOKEN) & (marked | whole)), F.lit(False))
 
 
 def is_small_ref(token: Column) -> Column:

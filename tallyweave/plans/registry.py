@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.plans import scalar
+from tallyweave.plans import layout, linking, scalar
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (scalar,)
+MODULES = (scalar, layout, linking)
 
 
 def _all() -> dict[str, tuple]:
@@ -18,7 +18,7 @@ def _all() -> dict[str, tuple]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").limit(0)
+    return linking.link_orders_to_parts(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
