@@ -6,6 +6,8 @@ role phrases are fixed values of the document class and are kept together.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,26 +51,9 @@ def _decimal(s: Column) -> Column:
     return F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("decimal(38,6)")
 
 
-def _number(kind: str, value: Column, high: Column | None = None, repaired: bool = False, conf: float = 1.0) -> Column:
-    return F.struct(
-        F.lit("number").alias("state"),
-        F.lit(kind).alias("kind"),
-        value.alias("value"),
-        (F.lit(None).cast("decimal(38,6)") if high is None else high).alias("value_high"),
-        F.lit(repaired).alias("repaired"),
-        F.lit(conf).alias("parse_conf"),
-    )
-
-
-def _absent(state: str) -> Column:
-    return F.struct(
-        F.lit(state).alias("state"),
-        F.lit(None).cast("string").alias("kind"),
-        F.lit(None).cast("decimal(38,6)").alias("value"),
-        F.lit(None).cast("decimal(38,6)").alias("value_high"),
-        F.lit(False).alias("repaired"),
-        F.lit(1.0).alias("parse_conf"),
-    )
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def parse_number(token: Column) -> Column:
@@ -80,20 +65,37 @@ def parse_number(token: Column) -> Column:
     t = strip(token)
     negative = t.startswith("(") & t.endswith(")")
     core = F.when(negative, strip(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
-    signed = lambda v: F.when(negative, -v).otherwise(v).cast("decimal(38,6)")
-    plain = _decimal(core)
-    low, high = _decimal(F.regexp_extract(core, PERCENT_RANGE, 1)), _decimal(F.regexp_extract(core, PERCENT_RANGE, 3))
-    return (
-        F.when(t == "", _absent("empty"))
-        .when(t.isin(*DASHES), _absent("dash"))
-        .when(core.rlike(PERCENT_RANGE), _number("percent_range", low, high))
-        .when(core.rlike(PERCENT), _number("percent", signed(_decimal(F.regexp_extract(core, PERCENT, 1)))))
-        .when(core.rlike(DECIMAL), _number("decimal", signed(plain)))
-        .when(core.rlike(INT), _number("int", signed(plain)))
-        .when(core.rlike(LOST_GROUP), _number("int", signed(plain), repaired=True, conf=0.7))
-        .when(core.rlike(BARE_DIGITS), _number("int", signed(plain), repaired=True, conf=0.5))
-        .otherwise(F.lit(None).cast(NUMBER_TYPE))
-    )
+
+    def shape(p: Column) -> Column:
+        c = p["core"]
+        kind = (
+            F.when(p["t"] == "", "empty")
+            .when(p["t"].isin(*DASHES), "dash")
+            .when(c.rlike(PERCENT_RANGE), "percent_range")
+            .when(c.rlike(PERCENT), "percent")
+            .when(c.rlike(DECIMAL), "decimal")
+            .when(c.rlike(INT), "int")
+            .when(c.rlike(LOST_GROUP), "lost_group")
+            .when(c.rlike(BARE_DIGITS), "bare")
+        )
+        return let(F.struct(c.alias("core"), p["negative"].alias("negative"), kind.alias("kind")), number)
+
+    def number(p: Column) -> Column:
+        k, c = p["kind"], p["core"]
+        absent, fixed = k.isin("empty", "dash"), k.isin("lost_group", "bare")
+        plain = _decimal(F.when(k == "percent", F.regexp_extract(c, PERCENT, 1)).when(k == "percent_range", F.regexp_extract(c, PERCENT_RANGE, 1)).otherwise(c))
+        value = F.when(p["negative"] & (k != "percent_range"), -plain).otherwise(plain).cast("decimal(38,6)")
+        made = F.struct(
+            F.when(absent, k).otherwise("number").alias("state"),
+            F.when(absent, None).when(fixed, "int").otherwise(k).alias("kind"),
+            F.when(~absent, value).alias("value"),
+            F.when(k == "percent_range", _decimal(F.regexp_extract(c, PERCENT_RANGE, 3))).alias("value_high"),
+            fixed.alias("repaired"),
+            F.when(k == "lost_group", 0.7).when(k == "bare", 0.5).otherwise(1.0).alias("parse_conf"),
+        )
+        return F.when(k.isNotNull(), made)
+
+    return let(F.struct(t.alias("t"), core.alias("core"), negative.alias("negative")), shape)
 
 
 def is_numeric_token(token: Column) -> Column:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.plans import layout, linking, scalar
+from tallyweave.plans import calibration, checks, layout, linking, scalar
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (scalar, layout, linking)
+MODULES = (scalar, layout, linking, calibration, checks)
 
 
 def _all() -> dict[str, tuple]:
