@@ -29,7 +29,7 @@ from tallyweave.llm.common import materialize, table
 
 HEADER = re.compile(rb"\AP5\s+(?:#.*\n\s*)*(\d+)\s+(\d+)\s+255\s", re.A)
 #: Corners of an image, strongest first; radius of the disc; scales by halving.
-CORNERS, RADIUS, SCALES = 32, 11, 2
+CORNERS, RADIUS, SCALES = 32, 19, 2
 TABLES, TABLE_BITS = 6, 21
 TESTS = TABLES * TABLE_BITS
 #: Descriptors of a pair differ in at most this many bits: one less than there are tables.
@@ -197,18 +197,22 @@ def find_copies(queries: DataFrame, images: DataFrame, least_votes: int = 6) ->
 
 # --- the production query's images ----------------------------------------------------------------------
 
-#: A vector's picture: 8 by 8 squares of this many pixels, brightness by value.
-SQUARE = 12
+#: A vector's picture: GRID by GRID squares of SQUARE pixels, each square's brightness a fixed random
+#: projection of the vector.
+GRID, SQUARE = 16, 8
+
+
+@cache
+def _projection(length: int) -> np.ndarray:
+    return np.random.default_rng(97).normal(size=(GRID * GRID, length))
 
 
 def picture(vector: np.ndarray) -> np.ndarray:
     v = np.nan_to_num(np.asarray(vector, float))
-    side = int(np.ceil(np.sqrt(len(v)))) if len(v) else 0
-    cells = np.zeros(side * side)
-    cells[: len(v)] = v
-    spread = np.abs(cells).max(initial=0) or 1.0
+    cells = _projection(len(v)) @ v if len(v) else np.zeros(GRID * GRID)
+    spread = np.abs(cells).max() or 1.0
     grey = np.rint(127.5 + 120 * cells / spread).astype(np.uint8)
-    return np.kron(grey.reshape(side, side), np.ones((SQUARE, SQUARE), np.uint8))
+    return np.kron(grey.reshape(GRID, GRID), np.ones((SQUARE, SQUARE), np.uint8))
 
 
 def edited(image: np.ndarray, number: int) -> np.ndarray:
