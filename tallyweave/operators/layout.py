@@ -37,16 +37,22 @@ def upper_median(value: Column) -> Column:
     return F.element_at(sorted_, (F.size(sorted_) / 2).cast("int") + 1)
 
 
-def page_profile(pages: DataFrame, image_share: float = 0.5) -> DataFrame:
-    """Per document: pages by class (native_text, mixed, image_only) and how many are rotated or landscape."""
-    kind = F.when(F.col("chars") >= 50, F.when(F.col("image_area") >= image_share, "mixed").otherwise("native_text")).otherwise("image_only")
-    seen = pages.withColumn("kind", kind)
-    return seen.groupBy("doc_id").agg(
-        F.count("*").alias("pages"),
-        *[F.count_if(F.col("kind") == k).alias(k) for k in ("native_text", "mixed", "image_only")],
-        F.count_if(F.col("rotation") % 180 != 0).alias("rotated"),
+def page_profile(pages: DataFrame) -> DataFrame:
+    """Per document: native_text (all pages have text), mixed (some), image_only (none), and page counts by shape."""
+    n = F.count("*")
+    text = F.count_if("has_text")
+    kind = F.when(text == n, "native_text").when(text > 0, "mixed").otherwise("image_only")
+    size = F.concat_ws("x", F.round("width", 1).cast("string"), F.round("height", 1).cast("string"))
+    by_size = pages.groupBy("doc_id", size.alias("size")).agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("size", "n")))).alias("dimensions"))
+    whole = pages.groupBy("doc_id").agg(
+        n.alias("pages"),
+        kind.alias("source_kind"),
+        text.alias("text_pages"),
+        F.count_if("has_image").alias("image_pages"),
+        F.count_if(F.col("rotation") % 360 != 0).alias("rotated"),
         F.count_if(F.col("width") > F.col("height")).alias("landscape"),
     )
+    return whole.join(by_size, "doc_id")
 
 
 def best_orientation(reads: DataFrame, keys: o.Keys, enough: int = 30) -> DataFrame:

@@ -75,11 +75,13 @@ def s4_orientation(spark, sf):
     return ly.best_orientation(_reads(spark, sf), ["page"], enough=3)
 
 
-@query("WITH p AS (SELECT page_id % 50 AS doc_id, length(html) AS chars, (page_id % 10) / 10.0 AS image_area, page_id % 4 * 90 AS rotation, 600 + page_id % 300 AS width, 800 AS height FROM pages) SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE chars >= 50 AND image_area < 0.5) AS native_text, count(*) FILTER (WHERE chars >= 50 AND image_area >= 0.5) AS mixed, count(*) FILTER (WHERE chars < 50) AS image_only, count(*) FILTER (WHERE rotation % 180 <> 0) AS rotated, count(*) FILTER (WHERE width > height) AS landscape FROM p GROUP BY doc_id")
+@query("WITH p AS (SELECT page_id % 50 AS doc_id, page_id % 50 % 3 = 0 OR page_id % 50 % 3 = 1 AND page_id % 2 = 0 AS has_text, page_id % 5 = 0 AS has_image, page_id % 4 * 90 AS rotation, 600 + page_id % 3 * 150 AS width, 800 AS height FROM pages), s AS (SELECT doc_id, width, count(*) AS n FROM p GROUP BY ALL), d AS (SELECT doc_id, string_agg(width || 'x800:' || n, ' ' ORDER BY width) AS dims FROM s GROUP BY 1) SELECT p.doc_id, count(*) AS pages, CASE WHEN bool_and(has_text) THEN 'native_text' WHEN bool_or(has_text) THEN 'mixed' ELSE 'image_only' END AS source_kind, count(*) FILTER (WHERE has_text) AS text_pages, count(*) FILTER (WHERE has_image) AS image_pages, count(*) FILTER (WHERE rotation <> 0) AS rotated, count(*) FILTER (WHERE width > height) AS landscape, any_value(dims) AS dims FROM p JOIN d USING (doc_id) GROUP BY p.doc_id")
 def s19_page_profile(spark, sf):
-    p = table(spark, sf, "pages")
-    pages = p.select((F.col("page_id") % 50).alias("doc_id"), F.length("html").alias("chars"), ((F.col("page_id") % 10) / 10).alias("image_area"), (F.col("page_id") % 4 * 90).alias("rotation"), (F.col("page_id") % 300 + 600).alias("width"), F.lit(800).alias("height"))
-    return ly.page_profile(pages)
+    k = F.col("page_id")
+    text = (k % 50 % 3 == 0) | ((k % 50 % 3 == 1) & (k % 2 == 0))
+    pages = table(spark, sf, "pages").select((k % 50).alias("doc_id"), text.alias("has_text"), (k % 5 == 0).alias("has_image"), (k % 4 * 90).alias("rotation"), (k % 3 * 150 + 600).alias("width"), F.lit(800).alias("height"))
+    dims = F.array_join(F.transform(F.map_entries("dimensions"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), " ")
+    return ly.page_profile(pages).withColumn("dims", dims).drop("dimensions")
 
 
 @query(f"WITH {DOC_WORDS} SELECT doc_id, page, line, string_agg(text, ' ' ORDER BY x0, pos) AS text, min(x0) AS x0, max(x0 + 20 * length(text)) AS x1, count(*) AS n_words FROM doc_words GROUP BY doc_id, page, line")

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.plans import calibration, checks, layout, linking, runs, scalar
+from tallyweave.plans import calibration, checks, layout, linking, pages, runs, scalar
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (scalar, layout, linking, calibration, checks, runs)
+MODULES = (scalar, layout, linking, calibration, checks, runs, pages)
 
 
 def _all() -> dict[str, tuple]:
