@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tallyweave.llm.common import give_back, small_batches
+
 WORD_END = "</w>"
 #: Letters whose class and small form every Unicode version since 6 gives alike; a text with others is
 #: normalised and cut into words by the tokenizers library, as versions differ on newer letters.
 SETTLED = regex.compile(r"[\x00-\u052f\u1e00-\u1eff\u2000-\u2064\u20a0-\u20b8\u2190-\u23e8\u2500-\u26cd\u3000-\u3096\u30a0-\u30fe\u4e00-\u9fcb\uac00-\ud7a3\ufffd]*+")
 #: Words remembered by a worker before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 NEVER = np.int64(1) << 40
 
 
@@ -255,8 +257,9 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
                 part = batch.iloc[at : at + 1000]
                 ids = bpe.encode_batch([t if isinstance(t, str) else None for t in part["__text"]])
                 yield part.drop(columns="__text").assign(n_tokens=[len(b) // 4 for b in ids], ids=ids, decoded=[bpe.decode(b) for b in ids])
+        give_back()
 
-    return kept.mapInPandas(run, schema)
+    return small_batches(kept).mapInPandas(run, schema)
 
 
 def encode_digest(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

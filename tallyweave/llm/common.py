@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no checkpoint folder, as in tests on one machine.
@@ -35,3 +39,26 @@ def plan_bytes(df: DataFrame) -> int:
 def pieces(df: DataFrame, each: int, least: int = 8, most: int = 1 << 16) -> int:
     """How many pieces of about ``each`` bytes the plan's output makes."""
     return max(least, min(most, -(-plan_bytes(df) // each)))
+
+
+#: Rows of an Arrow batch to Python: texts may be long, and the default holds ten thousand.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's Arrow batch rows to BATCH_ROWS where they are more or unbounded."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_SETTING, "10000")) <= BATCH_ROWS:
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return df
+
+
+def give_back() -> None:
+    """Returns a Python worker's freed memory to the system; workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyweave.llm.common import materialize, pieces, table
+from tallyweave.llm.common import give_back, materialize, pieces, small_batches, table
 from tallyweave.llm.components import connected
 
 #: Documents and characters of a block; a block's documents are numbered by 16 bits.
 BLOCK_DOCS, BLOCK_CHARS = 60_000, 6_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Prefix shingles held by more groups than this chain them.
 CHAIN_FROM = 48
 #: Documents of a tile of a large cluster.
@@ -122,8 +122,10 @@ def _pack(docs: DataFrame, k: int, shards: int) -> DataFrame:
                     ids, sets, chars, count = [], [], 0, count + 1
         if ids:
             yield pd.DataFrame(flush(ids, sets, task << 24 | count))
+        del shingler, ids, sets
+        give_back()
 
-    return docs.mapInPandas(run, "shard int, block bigint, hashes binary, owner binary, sizes binary")
+    return small_batches(docs).mapInPandas(run, "shard int, block bigint, hashes binary, owner binary, sizes binary")
 
 
 def _repeated(packed: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import materialize, table
+from tallyweave.llm.common import materialize, small_batches, table
 
 HEADER = re.compile(rb"\AP5\s+(?:#.*\n\s*)*(\d+)\s+(\d+)\s+255\s", re.A)
 #: Corners of an image, strongest first; radius of the disc; scales by halving.
@@ -135,7 +135,7 @@ def descriptors(images: DataFrame) -> DataFrame:
             rows = [(i, *d) for i, data in zip(batch["id"], batch["image"], strict=True) for d in describe(from_pgm(data))]
             yield pd.DataFrame(rows, columns=["id", "y", "x", "scale", "angle", "d0", "d1"])
 
-    return images.select("id", "image").mapInPandas(run, "id bigint, y double, x double, scale double, angle double, d0 bigint, d1 bigint")
+    return small_batches(images).select("id", "image").mapInPandas(run, "id bigint, y double, x double, scale double, angle double, d0 bigint, d1 bigint")
 
 
 def _chunk(d0: Column, d1: Column, t: int) -> Column:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import table
+from tallyweave.llm.common import give_back, small_batches, table
 
 WORDS = re.compile(r"\w+")
 BITS = 20
@@ -31,7 +31,7 @@ PLACES = 1 << BITS
 #: The most weights a model may hold: the whole feature space, 12 bytes each.
 MAX_WEIGHTS = PLACES
 #: Words whose hash a worker remembers before it starts afresh.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Odd multipliers that tell the feature families apart.
 UNIT, PAIR, SKIP = (np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -113,7 +113,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int, id_col: s
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "places": [np.unique(hasher.places(t if isinstance(t, str) else "")).astype("<i4").tobytes() for t in batch["text"]]})
 
-    got = texts.mapInPandas(features, f"id {dict(texts.dtypes)['id']}, label int, places binary").toPandas()
+    got = small_batches(texts).mapInPandas(features, f"id {dict(texts.dtypes)['id']}, label int, places binary").toPandas()
     got = got.sort_values(["id", "places"]).drop_duplicates("id")
     return [(np.frombuffer(p, "<i4"), int(y > 0)) for p, y in zip(got["places"], got["label"], strict=True)]
 
@@ -138,9 +138,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
                 found = found[dense[found] != 0]
                 out.append(sigmoid(dense[np.unique(found)].sum() + b))
             yield pd.DataFrame({id_col: batch[id_col], "held_out": batch["held_out"], "score": out})
+        give_back()
 
     kind = dict(rows.dtypes)[id_col]
-    return rows.mapInPandas(run, f"`{id_col}` {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return small_batches(rows).mapInPandas(run, f"`{id_col}` {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
