@@ -170,10 +170,10 @@ def j10_point_in_window(spark, sf):
 # --- aggregates ----------------------------------------------------------------------------------------
 
 
-@query("WITH r AS (SELECT l_orderkey, l_returnflag, avg(1 - l_discount) * CASE WHEN l_returnflag = 'N' THEN 0.85 ELSE 1 END AS c FROM lineitem GROUP BY l_orderkey, l_returnflag), m AS (SELECT l_orderkey, avg(c) AS c FROM r GROUP BY l_orderkey) SELECT l_orderkey, round(c * (0.7 + 0.3 * (l_orderkey % 3 / 2.0::DOUBLE)), 4)::DOUBLE AS table_conf FROM m")
+@query("WITH r AS (SELECT l_orderkey, l_returnflag, avg(1 - l_discount) * CASE WHEN l_returnflag = 'N' THEN 0.85 ELSE 1 END AS c FROM lineitem GROUP BY l_orderkey, l_returnflag), m AS (SELECT l_orderkey, avg(c) AS c FROM r GROUP BY l_orderkey) SELECT l_orderkey, round(c * (0.7 + 0.3 * (l_orderkey % 3 / 2.0::DOUBLE)), 10)::DOUBLE AS table_conf FROM m")
 def a6_row_table_confidence(spark, sf):
     rows = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg((F.avg(1 - F.col("l_discount")) * F.when(F.first("l_returnflag") == "N", 0.85).otherwise(1.0)).alias("c"))
-    return rows.groupBy("l_orderkey").agg(F.round(F.avg("c") * (0.7 + 0.3 * (F.first("l_orderkey") % 3 / 2.0)), 4).alias("table_conf"))
+    return rows.groupBy("l_orderkey").agg(F.round(F.avg("c") * (0.7 + 0.3 * (F.first("l_orderkey") % 3 / 2.0)), 10).alias("table_conf"))
 
 
 @query(f"WITH {A} SELECT l_linestatus, count(*) FILTER (WHERE agreement = 'consensus') AS consensus, count(*) FILTER (WHERE agreement = 'a_only') AS a_only, count(*) FILTER (WHERE agreement = 'b_only') AS b_only FROM rel_a GROUP BY 1")
