@@ -1,9 +1,9 @@
 """Media columns: local image descriptors that find cropped or edited copies.
 
 Images are binary grey maps (PGM, P5) in a column.  Corners are found at several scales by the smaller
-eigenvalue of the gradient matrix; each is described by 126 brightness tests in a disc turned to its
+eigenvalue of the gradient matrix; each is described by 124 brightness tests in a disc turned to its
 orientation, so equal detail gives equal bits whatever its place, brightness or rotation.  The bits are cut into
-six tables of 21; descriptors that differ in at most five bits agree in one table at least, so joining
+four tables of 31; descriptors that differ in at most three bits agree in one table at least, so joining
 the tables finds every such pair.  Matches vote for the move that takes one image to the other, and a
 pair counts as a copy when enough of them agree.
 
@@ -30,7 +30,7 @@ from tallyweave.llm.common import materialize, small_batches, table
 HEADER = re.compile(rb"\AP5\s+(?:#.*\n\s*)*(\d+)\s+(\d+)\s+255\s", re.A)
 #: Corners of an image, strongest first; radius of the disc; scales by halving.
 CORNERS, RADIUS, SCALES = 32, 19, 2
-TABLES, TABLE_BITS = 6, 21
+TABLES, TABLE_BITS = 4, 31
 TESTS = TABLES * TABLE_BITS
 #: Descriptors of a pair differ in at most this many bits: one less than there are tables.
 MOST_BITS = TABLES - 1
@@ -93,7 +93,7 @@ def _corners(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def describe(image: np.ndarray | None) -> list[tuple[float, float, float, float, int, int]]:
-    """``(y, x, scale, angle, bits 0-62, bits 63-125)`` of the strongest corners, in full-size pixels."""
+    """``(y, x, scale, angle, bits 0-61, bits 62-123)`` of the strongest corners, in full-size pixels."""
     if image is None:
         return []
     found: list[tuple[float, float, float, float, float, int, int]] = []
@@ -109,7 +109,7 @@ def describe(image: np.ndarray | None) -> list[tuple[float, float, float, float,
             patch = level[y[:, None] + dy, x[:, None] + dx]
             patch = patch - patch.mean(1, keepdims=True)
             angle = np.arctan2(patch @ dy, patch @ dx)
-            turn = np.round(angle / (np.pi / 15)) * (np.pi / 15)
+            turn = np.round(angle / (np.pi / 16)) * (np.pi / 16)
             c, s = np.cos(turn)[:, None, None], np.sin(turn)[:, None, None]
             ends = _tests()
             ty = np.rint(ends[:, :, 0] * c + ends[:, :, 1] * s).astype(int) + y[:, None, None]
@@ -139,7 +139,7 @@ def descriptors(images: DataFrame) -> DataFrame:
 
 
 def _chunk(d0: Column, d1: Column, t: int) -> Column:
-    return F.shiftright(d0 if t < 3 else d1, TABLE_BITS * (t % 3)).bitwiseAND((1 << TABLE_BITS) - 1)
+    return F.shiftright(d0 if t < TABLES // 2 else d1, TABLE_BITS * (t % (TABLES // 2))).bitwiseAND((1 << TABLE_BITS) - 1)
 
 
 def close_pairs(left: DataFrame, right: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
@@ -237,6 +237,22 @@ def pictures(vectors: DataFrame, edit: bool = False, id_col: str = "vec_id", vec
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edited copies of every twentieth picture, searched for among all pictures."""
+    """Edited copies of every twentieth picture, searched for among all pictures; one row for each query.
+
+    ``class_ids`` and ``class_votes`` hold all classes that were found, best first.
+    """
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return find_copies(pictures(vectors.where("vec_id % 20 = 0"), edit=True), pictures(vectors)).withColumnRenamed("query_id", "vec_id")
+    hits = find_copies(pictures(vectors.where("vec_id % 20 = 0"), edit=True), pictures(vectors))
+    found = F.filter(F.sort_array(F.collect_list(F.struct("votes", (-F.col("class_id")).alias("c"), "class_size", "dy", "dx", "zoom")), asc=False), lambda x: x["c"].isNotNull())
+    best = F.get("found", F.lit(0))
+    out = hits.groupBy(F.col("query_id").alias("vec_id")).agg(found.alias("found"))
+    return out.select(
+        "vec_id",
+        F.size("found").cast("long").alias("n_classes"),
+        (-best["c"]).alias("best_class"),
+        best["votes"].alias("best_votes"),
+        *[best[c].alias(c) for c in ("dy", "dx", "zoom")],
+        F.transform("found", lambda x: -x["c"]).alias("class_ids"),
+        F.transform("found", lambda x: x["votes"]).alias("class_votes"),
+        F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["class_size"]).alias("n_members"),
+    )
