@@ -28,7 +28,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: rows are computed once, lineage is cut, lost executors cost nothing."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    let_go(df.sparkSession)
+    return out
+
+
+def let_go(spark: SparkSession) -> None:
+    """Has the driver drop plans nobody holds any more: Spark then deletes their shuffle files and checkpoints.
+
+    Without it they stay until the driver happens to collect its garbage, and a job of many rounds keeps
+    the files of all of them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def plan_bytes(df: DataFrame) -> int:

@@ -16,9 +16,10 @@ exact.  Its steps, each sized by the input and none bound to one task:
 5. Classes are the connected components of those links, carried back to equal sets.
 
 Contract for odd input: null or empty texts and texts without words have no shingles and link with
-nothing; fewer words than a shingle make one shingle; rows without an id are left out of linking and
-come back as classes of their own with a null class id; rows that repeat an id are one document if their
-texts agree, otherwise each is linked and the class id is shared; other columns are never read.
+nothing; fewer words than a shingle make one shingle; rows without an id are left out and
+are not returned; rows that repeat an id are returned as often, and links go by id, so rows of one id
+with different texts share their links, while a row that can link with nothing has its id for a class;
+other columns are never read.
 """
 
 from __future__ import annotations
@@ -387,7 +388,8 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     Of rows that repeat both id and text one stays.
     """
     found = classes(docs, k, percent, id_col, text_col)
-    gone = found.where("component_id <> id").select(F.col("id").alias("gone_id")).distinct()
+    # An id goes only if every row of it belongs to another's class.
+    gone = found.groupBy("id").agg(F.max("component_id").alias("c")).where("c <> id").select(F.col("id").alias("gone_id"))
     kept = docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
     again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("m")).where("m > 1").select(F.col(id_col).alias("again_id"))
     hits = F.col(id_col) == F.col("again_id")
