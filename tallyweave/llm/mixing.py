@@ -57,14 +57,14 @@ def budgets(leaves: DataFrame, share: float, max_epochs: int, weights: Weights)
         path = [*up, level]
         nodes = leaves.groupBy(*path).agg((F.sum("tokens") * max_epochs).alias("room"), F.sum("tokens").alias("tokens")).withColumn("w", _weight(level, weights))
         nodes = nodes.join(parents, up) if up else nodes.crossJoin(F.broadcast(parents))
-        order = Window.partitionBy(*up).orderBy((F.col("room") / F.col("w")), level)
+        order = Window.partitionBy(*up).orderBy(F.try_divide("room", "w").asc_nulls_last(), level)
         all_of = Window.partitionBy(*up)
         upto = order.rowsBetween(Window.unboundedPreceding, 0)
-        line = (F.col("budget") - (F.sum("room").over(upto) - F.col("room"))) / (F.sum("w").over(all_of) - (F.sum("w").over(upto) - F.col("w")))
-        nodes = nodes.withColumn("full", (F.col("w") > 0) & (F.col("room") <= F.col("w") * line))
+        line = F.try_divide(F.col("budget") - (F.sum("room").over(upto) - F.col("room")), F.sum("w").over(all_of) - (F.sum("w").over(upto) - F.col("w")))
+        nodes = nodes.withColumn("full", (F.col("w") > 0) & (F.col("room") <= F.col("w") * F.coalesce(line, F.lit(0.0))))
         left = F.col("budget") - F.sum(F.when(F.col("full"), F.col("room")).otherwise(0)).over(all_of)
         open_w = F.sum(F.when(F.col("full"), 0).otherwise(F.col("w"))).over(all_of)
-        got = F.when(F.col("full"), F.col("room").cast("double")).otherwise(F.when(open_w > 0, F.col("w") * left / open_w).otherwise(0.0))
+        got = F.when(F.col("full"), F.col("room").cast("double")).otherwise(F.coalesce(F.try_divide(F.col("w") * left, open_w), F.lit(0.0)))
         parents = nodes.select(*path, got.alias("budget"), "tokens")
         up = path
         if level != LEVELS[-1]:
