@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tallyweave.functions import fuzzy
 from tallyweave.functions import grammar as g
 from tallyweave.functions import tokens as tk
+from tallyweave.operators import assembly as asm
 from tallyweave.operators import locate as lc
 from tallyweave.operators import matching as mt
 from tallyweave.operators import pages as pg
@@ -63,21 +64,15 @@ def _titled(spark, sf):
 
 @query(f"WITH {_HEAD} SELECT c_custkey AS doc_id, title FROM h")
 def x2_titles(spark, sf):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], pg.title_of(pg.group_lines(rows), 600.0))], columns=["doc_id", "title"])
-
-    return _titled(spark, sf).groupBy("doc_id").applyInPandas(run, "doc_id bigint, title string")
+    return pg.by_page(_titled(spark, sf), lambda key, lines: [(key[0], pg.title_of(lines, 600.0))], "doc_id bigint, title string", ["doc_id"])
 
 
 @query(f"WITH {STATEMENT}, t AS (SELECT DISTINCT doc_id, line, y0 FROM statement), n AS (SELECT *, CASE WHEN abs(y0 - line % 2 * 50 - lag(y0 - line % 2 * 50) OVER w) < 15 THEN 0 ELSE 1 END AS new FROM (SELECT doc_id, line, y0 FROM t) WINDOW w AS (PARTITION BY doc_id ORDER BY line)) SELECT doc_id, sum(new) AS lines FROM n GROUP BY doc_id")
 def a2_baseline_merge(spark, sf):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], len(pg.same_baseline(pg.group_lines(rows))))], columns=["doc_id", "lines"])
-
     # odd lines move up to nearly meet the line above
     moved = F.col("line") % 2 * 50
     words = _pages(spark, sf).withColumns({"y0": F.col("y0") - moved, "y1": F.col("y1") - moved})
-    return words.groupBy("doc_id").applyInPandas(run, "doc_id bigint, lines bigint")
+    return pg.by_page(words, lambda key, lines: [(key[0], len(pg.same_baseline(lines)))], "doc_id bigint, lines bigint", ["doc_id"])
 
 
 @query("WITH r AS (SELECT o_custkey, o_orderkey, o_orderstatus = 'F' AS bare, CASE WHEN o_orderkey % 2 = 0 THEN 20 ELSE 0 END AS x FROM orders), n AS (SELECT *, max(CASE WHEN NOT bare THEN o_orderkey END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later FROM r) SELECT o_custkey, count(*) FILTER (WHERE NOT bare) AS rows, count(*) FILTER (WHERE bare AND later IS NULL) AS dropped FROM n GROUP BY o_custkey")
@@ -349,3 +344,37 @@ def stream_hourly_rates(spark, sf):
     """The streaming monitor's plan over the whole table; tests run it as a stream."""
     got = monitor.rates(table(spark, sf, "events"), every="1 hour")
     return got.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events", "bad", F.round("value", 4).alias("value"))
+
+
+# --- assembly ------------------------------------------------------------------------------------------
+
+_ROWS = "rows_ AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS row_no, CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'Toplam varlıklar' WHEN 2 THEN 'Alımlar' WHEN 3 THEN 'Kasa (*)' WHEN 4 THEN CASE WHEN o_custkey % 4 = 0 THEN 'açılış bakiyesi' ELSE 'Banka' END ELSE 'BORÇLAR' END AS label, o_orderkey % 11 = 5 AS section, (o_orderkey % 3)::INT AS level, (o_orderkey % 4)::INT AS n_cells, o_custkey % 7 = 0 AS duration FROM orders)"
+
+
+def _assembly_rows(spark, sf):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    label = F.when(k % 6 == 0, "").when(k % 6 == 1, "Toplam varlıklar").when(k % 6 == 2, "Alımlar").when(k % 6 == 3, "Kasa (*)").when(k % 6 == 4, F.when(c % 4 == 0, "açılış bakiyesi").otherwise("Banka")).otherwise("BORÇLAR")
+    no = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    return table(spark, sf, "orders").select("o_custkey", no.alias("row_no"), label.alias("label"), (k % 11 == 5).alias("section"), (k % 3).cast("int").alias("level"), (k % 4).cast("int").alias("n_cells"), (c % 7 == 0).alias("duration"))
+
+
+_OWN = "CASE WHEN label = 'açılış bakiyesi' THEN 'opening' WHEN label LIKE 'Toplam%' THEN 'total' ELSE 'flow' END"
+
+
+@query(f"WITH {_ROWS}, o AS (SELECT *, {_OWN} AS own, lead(row_no) OVER (PARTITION BY o_custkey ORDER BY row_no) IS NULL AS last, duration OR bool_or({_OWN} = 'opening') OVER (PARTITION BY o_custkey) AS moves FROM rows_), n AS (SELECT *, CASE WHEN label = '' AND last AND n_cells > 0 THEN 'total' WHEN section THEN 'group_header' ELSE own END AS named FROM o) SELECT o_custkey, row_no, CASE WHEN named = 'flow' AND NOT moves THEN CASE WHEN level > 0 THEN 'subitem' ELSE 'item' END ELSE named END AS role FROM n")
+def x4_role_overrides(spark, sf):
+    return asm.assign_roles(_assembly_rows(spark, sf), keys=["o_custkey"]).select("o_custkey", "row_no", "role")
+
+
+@query(f"WITH {_ROWS} SELECT a.o_custkey, 'p01.t' || lpad((a.o_custkey % 90)::VARCHAR, 2, '0') || '.r' || lpad(a.row_no::VARCHAR, 3, '0') AS row_id, 'p01.t' || lpad((a.o_custkey % 90)::VARCHAR, 2, '0') || '.r' || lpad((SELECT max(b.row_no) FROM rows_ b WHERE b.o_custkey = a.o_custkey AND b.row_no < a.row_no AND b.level < a.level)::VARCHAR, 3, '0') AS parent_row_id FROM rows_ a")
+def x3_row_ids(spark, sf):
+    rows = _assembly_rows(spark, sf).withColumns({"page": F.lit(1), "table_no": F.col("o_custkey") % 90})
+    return asm.assign_ids(rows, ["o_custkey"]).select("o_custkey", "row_id", "parent_row_id")
+
+
+@query("WITH h AS (SELECT c_custkey, unnest([0, 1, 2]) AS col, unnest(CASE WHEN c_custkey % 3 = 0 THEN ['2012', '2011', '2010'] ELSE ['Arazi ve Arsalar', 'Binalar', CASE WHEN c_custkey % 2 = 0 THEN 'BINALAR' END] END) AS label FROM customer), s AS (SELECT c_custkey, col, CASE WHEN c_custkey % 3 = 0 THEN 'y' || label ELSE trim(regexp_replace(replace(lower(translate(coalesce(label, 'col' || col), 'İI', 'iı')), chr(775), ''), '[^a-z0-9çğıöşü]+', '_', 'g'), '_') END AS p FROM h) SELECT c_custkey, col, p || CASE WHEN row_number() OVER (PARTITION BY c_custkey, p ORDER BY col) > 1 THEN '_' || col ELSE '' END AS period_id FROM s")
+def x3_period_ids(spark, sf):
+    c = F.col("c_custkey")
+    labels = F.when(c % 3 == 0, F.array(F.lit("2012"), F.lit("2011"), F.lit("2010"))).otherwise(F.array(F.lit("Arazi ve Arsalar"), F.lit("Binalar"), F.when(c % 2 == 0, "BINALAR")))
+    heads = table(spark, sf, "customer").select("c_custkey", F.posexplode(labels).alias("col", "label"))
+    return asm.period_ids(heads, ["c_custkey"]).select("c_custkey", "col", "period_id")
