@@ -397,4 +397,23 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM cut
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (SELECT g FROM sets GROUP BY g HAVING count(*) > 1
+), held AS (SELECT s.doc_id, s.g FROM sets s JOIN shared USING (g)
+), able AS (SELECT h.doc_id, any_value(n) AS n FROM held h JOIN sizes USING (doc_id) GROUP BY h.doc_id HAVING 100 * count(*) >= 85 * any_value(n)
+), kept AS (SELECT h.doc_id, h.g, a.n FROM held h JOIN able a USING (doc_id)
+), met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM kept a JOIN kept b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (SELECT a, b FROM met WHERE 100 * k >= 85 * (na + nb - k)
+), reach(a, b) AS (SELECT doc_id, doc_id FROM able UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b
+), least AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.a = d.doc_id
+"""

@@ -27,6 +27,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     **({} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}),
+    "op2_jaccard": jaccard.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op9_chat": chat.ORACLE,
