@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyweave.llm.common import give_back, small_batches
+from tallyweave.llm.common import give_back, small_batches, typed, worded
 
 WORD_END = "</w>"
 #: Letters whose class and small form every Unicode version since 6 gives alike; a text with others is
@@ -247,8 +247,10 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(spec)
-    kept = docs.select(id_col, *carry, F.col(text_col).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "n_tokens bigint, ids binary, decoded string"])
+    cols = [id_col, *carry]
+    plain = docs.select(*cols, F.col(text_col).alias("__text"))
+    kept = worded(plain, *cols)
+    schema = ", ".join([*(f"`{c}` string" for c in cols), "n_tokens bigint, ids binary, decoded string"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = _ready(shared.value)
@@ -259,7 +261,7 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
                 yield part.drop(columns="__text").assign(n_tokens=[len(b) // 4 for b in ids], ids=ids, decoded=[bpe.decode(b) for b in ids])
         give_back()
 
-    return small_batches(kept).mapInPandas(run, schema)
+    return typed(small_batches(kept).mapInPandas(run, schema), plain, *cols)
 
 
 def encode_digest(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

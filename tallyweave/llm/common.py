@@ -7,6 +7,7 @@ import gc
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no checkpoint folder, as in tests on one machine.
 DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
@@ -53,6 +54,19 @@ def pieces(df: DataFrame, each: int, least: int = 8, most: int = 1 << 16) -> int
     return max(least, min(most, -(-plan_bytes(df) // each)))
 
 
+
+
+def worded(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` with columns as text: a whole number beside nulls would pass through Python as a float."""
+    return df.withColumns({c: F.col(c).cast("string") for c in cols})
+
+
+def typed(df: DataFrame, like: DataFrame, *cols: str) -> DataFrame:
+    """Columns back to the types they have in ``like``."""
+    kinds = dict(like.dtypes)
+    return df.withColumns({c: F.col(c).cast(kinds[c]) for c in cols})
+
+
 #: Rows of an Arrow batch to Python: texts may be long, and the default holds ten thousand.
 BATCH_ROWS = 1000
 _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import give_back, small_batches, table
+from tallyweave.llm.common import give_back, small_batches, table, typed, worded
 
 WORDS = re.compile(r"\w+")
 BITS = 20
@@ -140,8 +140,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
             yield pd.DataFrame({id_col: batch[id_col], "held_out": batch["held_out"], "score": out})
         give_back()
 
-    kind = dict(rows.dtypes)[id_col]
-    return small_batches(rows).mapInPandas(run, f"`{id_col}` {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = small_batches(worded(rows, id_col)).mapInPandas(run, f"`{id_col}` string, held_out boolean, score double")
+    return typed(scored, rows, id_col).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

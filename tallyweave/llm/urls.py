@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import materialize, table
+from tallyweave.llm.common import materialize, small_batches, table, typed, worded
 from tallyweave.llm.line_dedup import ascii_lower
 
 #: (host, path, verdict)
@@ -163,7 +163,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, seeds: Sequence[str]
             yield batch.drop(columns="places")
 
     coded = urls.select("id", "host", "path", "words", F.transform("tokens", place).alias("places"))
-    scored = coded.mapInPandas(run, f"id {dict(urls.dtypes)['id']}, host string, path string, words array<string>, log_odds double")
+    scored = small_batches(worded(coded, "id")).mapInPandas(run, "id string, host string, path string, words array<string>, log_odds double")
+    scored = typed(scored, coded, "id")
     rule = matched_rule(F.col("host"), F.col("path"), rules)
     out = scored.withColumn("hit", rule)
     verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("log_odds") > 0, "block").otherwise("allow"))

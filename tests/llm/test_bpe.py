@@ -49,3 +49,14 @@ def test_odd_rows(nasty, empty, spec):
     assert len(got) == nasty.count()
     assert all(r.n_tokens == 0 for r in got if r.doc_id in (0, 1, 2, 11))
     assert bpe.encode(empty, spec, carry=("lang",)).count() == 0
+
+
+def test_large_ids_beside_nulls(spark, spec):
+    from tallyweave.llm import quality, toxicity, urls
+
+    ids = [2**62 + 1, None, 2**53 + 1]
+    df = spark.createDataFrame([(i, "some text", "en", "s") for i in ids], "doc_id bigint, text string, lang string, source string").coalesce(1)
+    labels = spark.createDataFrame([(2**62 + 1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    pages = df.selectExpr("doc_id AS page_id", "'http://a.org/x' AS url", "text AS html")
+    found = (bpe.encode(df, spec), toxicity.classify(df, labels), quality.score(df, labels), urls.judge(pages))
+    assert all({r[0] for r in got.collect()} == set(ids) for got in found)
