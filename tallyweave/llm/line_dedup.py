@@ -45,10 +45,12 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col
     A key found in ``min_docs`` documents keeps its lines in the largest id alone.
     """
     lines = keyed_lines(docs, min_chars, id_col, text_col)
-    ranged = lines.repartitionByRange(pieces(docs, 8 << 20), "h1", "h2", "id").sortWithinPartitions("h1", "h2", "id", "pos")
-    holders = ranged.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))  # the range partitioning serves: no shuffle
-    shared = holders.groupBy("h1", "h2").agg(F.count("one").alias("n_docs"), F.max("id").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    lost = ranged.join(shared.select("h1", "h2", "keeper"), ["h1", "h2"]).where(F.col("id") < F.col("keeper"))
+    ranged = lines.repartitionByRange(pieces(docs, 8 << 20), "h1", "h2", "id")
+    # The range partitioning serves the grouping by key and document: sorted rows stream through it.
+    streamed = ranged.sortWithinPartitions("h1", "h2", "id", "pos")
+    holders = streamed.groupBy("h1", "h2", "id").agg(F.min(F.struct("pos", "tag")).alias("first"))
+    shared = holders.groupBy("h1", "h2").agg(F.count("first").alias("n_docs"), F.max(F.struct("id", "first")).alias("kept_at")).where(F.col("n_docs") >= min_docs)
+    lost = ranged.join(shared.select("h1", "h2", "kept_at"), ["h1", "h2"]).where(F.col("id") < F.col("kept_at.id"))
     words = lost.groupBy("id", "tag", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     return words.groupBy("id", "tag").agg(
         F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"),
