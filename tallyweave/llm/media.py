@@ -160,22 +160,27 @@ def close_pairs(left: DataFrame, right: DataFrame, most_bits: int = MOST_BITS) -
     return pairs.where(first & (F.bit_count(x0) + F.bit_count(x1) <= most_bits))
 
 
-def agreeing(pairs: DataFrame, step: float = 8.0) -> DataFrame:
+def agreeing(pairs: DataFrame, least_votes: int = 1, reach: float = 4.0) -> DataFrame:
     """``a_id, b_id, votes, dy, dx, zoom``: the move most of a pair's matches agree on.
 
-    Each match tells zoom and turn, and with them where the first image's origin comes to lie.  Votes are
-    counted in squares of ``step`` pixels on two grids, so that neighbours are not parted by a border.
+    Each match tells zoom and turn, and with them where the first image's origin comes to lie.  A move's
+    votes are the corners whose matches put it within ``reach`` pixels.  A pair of images has at most as
+    many matches as pairs of corners, which bounds the list that is compared with itself.
     """
     zoom = F.col("b_scale") / F.col("a_scale")
     turn = F.col("b_angle") - F.col("a_angle")
     oy = F.col("b_y") - zoom * (F.col("a_y") * F.cos(turn) + F.col("a_x") * F.sin(turn))
     ox = F.col("b_x") - zoom * (F.col("a_x") * F.cos(turn) - F.col("a_y") * F.sin(turn))
-    voted = pairs.select("a_id", "b_id", "a_y", "a_x", F.round(F.log2(zoom)).cast("int").alias("z"), F.pmod(F.round(turn / (np.pi / 6)).cast("int"), F.lit(12)).alias("r"), oy.alias("oy"), ox.alias("ox"))
-    voted = voted.select("*", F.explode(F.array(F.lit(0.0), F.lit(0.5))).alias("g"))
-    cell = [F.floor(F.col(c) / step + F.col("g")).alias(f"c{c}") for c in ("oy", "ox")]
-    bins = voted.select("*", *cell).groupBy("a_id", "b_id", "z", "r", "g", "coy", "cox").agg(F.count_distinct("a_y", "a_x").alias("votes"), F.avg("oy").alias("dy"), F.avg("ox").alias("dx"))
-    best = bins.groupBy("a_id", "b_id").agg(F.max(F.struct("votes", -F.col("g"), -F.abs("z"), "coy", "cox", F.round("dy", 1).alias("dy"), F.round("dx", 1).alias("dx"), F.col("z").alias("zoom"))).alias("m"))
-    return best.select("a_id", "b_id", "m.votes", "m.dy", "m.dx", F.pow(F.lit(2.0), F.col("m.zoom")).alias("zoom"))
+    move = F.struct("a_y", "a_x", F.round(F.log2(zoom)).cast("int").alias("z"), F.pmod(F.round(turn / (np.pi / 6)).cast("int"), F.lit(12)).alias("r"), oy.alias("oy"), ox.alias("ox"))
+    lists = pairs.groupBy("a_id", "b_id").agg(F.collect_list(move).alias("m")).where(F.size("m") >= least_votes)
+
+    def told(p: Column) -> Column:
+        near = F.filter("m", lambda q: (q["z"] == p["z"]) & (q["r"] == p["r"]) & (F.abs(q["oy"] - p["oy"]) <= reach) & (F.abs(q["ox"] - p["ox"]) <= reach))
+        votes = F.size(F.array_distinct(F.transform(near, lambda q: F.struct(q["a_y"], q["a_x"]))))
+        return F.struct(votes.cast("long").alias("votes"), (-F.abs(p["z"])).alias("still"), F.round(p["oy"], 1).alias("dy"), F.round(p["ox"], 1).alias("dx"), p["z"].alias("z"))
+
+    best = lists.select("a_id", "b_id", F.array_max(F.transform("m", told)).alias("t"))
+    return best.select("a_id", "b_id", "t.votes", "t.dy", "t.dx", F.pow(F.lit(2.0), F.col("t.z")).alias("zoom"))
 
 
 def find_copies(queries: DataFrame, images: DataFrame, least_votes: int = 6) -> DataFrame:
@@ -187,7 +192,7 @@ def find_copies(queries: DataFrame, images: DataFrame, least_votes: int = 6) ->
     asked = queries.where("id IS NOT NULL").withColumn("bytes", F.sha2(F.coalesce("image", F.lit(b"")), 256))
     asked_classes = materialize(asked.groupBy("bytes").agg(F.min("id").alias("ask_id")))
     ask = asked.join(asked_classes.select(F.col("ask_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    moves = agreeing(close_pairs(materialize(descriptors(ask)), materialize(descriptors(one)))).where(F.col("votes") >= least_votes)
+    moves = agreeing(close_pairs(materialize(descriptors(ask)), materialize(descriptors(one))), least_votes).where(F.col("votes") >= least_votes)
     same = asked_classes.join(classes, "bytes").select(F.col("ask_id").alias("a_id"), F.col("class_id").alias("b_id"), F.lit(True).alias("same"))
     hits = moves.join(same, ["a_id", "b_id"], "full").join(classes.select(F.col("class_id").alias("b_id"), "class_size"), "b_id")
     members = asked.select(F.col("id").alias("query_id"), "bytes").join(asked_classes, "bytes")
