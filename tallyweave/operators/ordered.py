@@ -72,12 +72,12 @@ def forward_fill(df: DataFrame, keys: Keys, order: Keys, value: str, name: str)
 def nearest(points: DataFrame, targets: DataFrame, keys: Keys, at: str, center: str, number: str, tolerance: float | Column) -> DataFrame:
     """Each point with its nearest target of the same key, within ``tolerance``; ties go to the lower number.
 
-    Targets of a key are few (columns of a table), so the join's fan-out is theirs.
+    Targets of a key are few (columns of a table), so they meet a point as one short list: the join adds no rows.
     """
-    distance = F.abs(F.col(at) - F.col(center))
-    joined = points.join(targets.select(*keys, center, number), list(keys)).withColumn("distance", distance)
-    best = joined.groupBy(*points.columns).agg(F.min(F.struct("distance", number)).alias("best"))
-    return best.select(*points.columns, F.col("best.distance").alias("distance"), F.col(f"best.{number}").alias(number)).where(F.col("distance") <= tolerance)
+    lists = targets.groupBy(*keys).agg(F.collect_list(F.struct(F.col(center).alias("c"), F.col(number).alias("k"))).alias("__targets"))
+    best = F.array_min(F.transform("__targets", lambda t: F.struct(F.abs(F.col(at) - t["c"]).alias("distance"), t["k"].alias("k"))))
+    met = points.join(lists, list(keys)).withColumn("__best", best)
+    return met.select(*points.columns, F.col("__best.distance").alias("distance"), F.col("__best.k").alias(number)).where(F.col("distance") <= tolerance)
 
 
 def last_smaller(df: DataFrame, keys: Keys, order: str, level: str, row_id: str, name: str = "parent") -> DataFrame:

@@ -202,7 +202,7 @@ def _columns(spark, sf):
 
 @query(f"WITH {STATEMENT}{_COLUMNS}, d AS (SELECT n.doc_id, n.line, n.pos, c.col, abs(n.x1 - c.center) AS dist, row_number() OVER (PARTITION BY n.doc_id, n.line, n.pos ORDER BY abs(n.x1 - c.center), c.col) AS rn FROM nums n JOIN cols c USING (doc_id)) SELECT doc_id, line, pos, col FROM d WHERE rn = 1 AND dist <= 99.2")
 def j4_number_to_column(spark, sf):
-    near = o.nearest(_numbers(spark, sf), _columns(spark, sf), ["doc_id"], "x1", "center", "col", WIDTH * 0.04)
+    near = o.nearest(_numbers(spark, sf).distinct(), _columns(spark, sf), ["doc_id"], "x1", "center", "col", WIDTH * 0.04)
     return near.select("doc_id", "line", "pos", "col")
 
 
