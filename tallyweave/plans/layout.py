@@ -234,7 +234,7 @@ def p12_year_columns(spark, sf):
 @query("WITH i AS (SELECT DISTINCT l_orderkey, 100 + 18.0 * (l_partkey % 3) + (l_suppkey % 4) AS x FROM lineitem), n AS (SELECT *, CASE WHEN x - lag(x) OVER w > 14 THEN 1 ELSE 0 END AS new FROM i WINDOW w AS (PARTITION BY l_orderkey ORDER BY x)), k AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY x) AS c FROM n), cen AS (SELECT l_orderkey, c, avg(x) AS center FROM k GROUP BY ALL), d AS (SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, cen.c, row_number() OVER (PARTITION BY l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber ORDER BY abs(100 + 18.0 * (l_partkey % 3) + (l_suppkey % 4) - center), cen.c) AS rn FROM lineitem l JOIN cen USING (l_orderkey)) SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, c AS indent FROM d WHERE rn = 1")
 def w9_indent_levels(spark, sf):
     x = 100 + 18.0 * (F.col("l_partkey") % 3) + (F.col("l_suppkey") % 4)
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", x.alias("x"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", x.alias("x")).distinct()
     centers = o.gap_clusters(rows.select("l_orderkey", "x").distinct(), ["l_orderkey"], "x", 14.0).select("l_orderkey", F.col("cluster").alias("indent"), "center")
     return o.nearest(rows, centers, ["l_orderkey"], "x", "center", "indent", 1e9).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "indent")
 
