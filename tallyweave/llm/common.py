@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder, as in tests on one machine.
+#: Used only on one machine (master ``local[...]``) whose session names no checkpoint folder.
 DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
 
 
@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; sets a default only where none is named."""
+    """The shared folder the session names.  A cluster must name one; one machine alone has a default."""
     sc = spark.sparkContext
     if (found := sc.getCheckpointDir()) is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or DEFAULT_CHECKPOINT_DIR)
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or DEFAULT_CHECKPOINT_DIR)
         found = sc.getCheckpointDir()
     return found
 
@@ -54,8 +57,6 @@ def pieces(df: DataFrame, each: int, least: int = 8, most: int = 1 << 16) -> int
     return max(least, min(most, -(-plan_bytes(df) // each)))
 
 
-
-
 def worded(df: DataFrame, *cols: str) -> DataFrame:
     """``df`` with columns as text: a whole number beside nulls would pass through Python as a float."""
     return df.withColumns({c: F.col(c).cast("string") for c in cols})

@@ -3,22 +3,26 @@
 Two documents link when the Jaccard similarity of their shingle sets reaches a threshold.  The join is
 exact.  Its steps, each sized by the input and none bound to one task:
 
-1. Blocks of documents are hashed into shingle sets and dealt out by hash range, packed as arrays.
-   Each range counts its shingles' documents and sends back only those held by two or more.
+1. Blocks of documents are hashed into shingle sets, equal sets of a block collapse, and what is left is
+   dealt out by hash range, packed as arrays; a shingle that several sets of a block hold goes out once.
+   Each range counts its shingles' sets and sends back only those held by two or more.
    A document whose repeated shingles are too few to reach the threshold can link with nothing.
 2. Documents of equal sets collapse into one.  Shingles are ordered from rare to common; the prefix of
    an n-set is its first n - ceil(t n) + 1.  Documents of identical prefix and size form a group.
-3. Groups that share a prefix shingle and pass the size and position bounds are candidates.  A shingle
-   that many groups share chains them in size order instead of pairing them.  What candidates connect
-   is a cluster, and every link lies within one.
+3. Groups that share a prefix shingle and pass the size and position bounds are candidates.  The groups
+   of a shingle that very many share hang, by runs of sizes, on one of them instead of being paired.
+   What candidates connect is a cluster, and every link lies within one.
 4. Clusters are expanded to members and verified: small ones in one piece, larger ones in tiles of
-   bounded rows.  A piece counts overlaps exactly and returns a spanning forest of its links, not pairs.
+   bounded rows.  A piece counts overlaps exactly and returns members with their smallest, not pairs.
 5. Classes are the connected components of those links, carried back to equal sets.
 
+Shingles are told apart by 64-bit hashes, sets by 128-bit digests; a block is a task's run of rows, numbered
+by the task for this one shuffle only, and no number leaves it.
+
 Contract for odd input: null or empty texts and texts without words have no shingles and link with
 nothing; fewer words than a shingle make one shingle; rows without an id are left out and
 are not returned; rows that repeat an id are returned as often, and links go by id, so rows of one id
-with different texts share their links, while a row that can link with nothing has its id for a class;
+with different texts share their class, while a row without shingles has its id for a class;
 other columns are never read.
 """
 
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyweave.llm.common import give_back, materialize, pieces, small_batches, table
-from tallyweave.llm.components import connected
+from tallyweave.llm.components import connected, forest
 
 #: Documents and characters of a block; a block's documents are numbered by 16 bits.
 BLOCK_DOCS, BLOCK_CHARS = 60_000, 6_000_000
@@ -44,8 +48,9 @@ CACHE_WORDS = 200_000
 CHAIN_FROM = 48
 #: Documents of a tile of a large cluster.
 TILE = 768
+#: Holders of a shingle beyond this are told apart by hash alone; they only order shingles.
+MOST_HELD = 65_535
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-_LOW56 = np.uint64((1 << 56) - 1)
 
 
 class Shingler:
@@ -89,25 +94,48 @@ def least_overlap(n: int | np.ndarray, percent: int) -> int | np.ndarray:
 
 # --- 1. shingle sets, packed and dealt by hash range ---------------------------------------------------
 
+#: Kinds of packed rows: a block's documents; shingles one set of the block holds; shingles several of its
+#: sets hold, once with their count; and, kept beside the block, who holds the latter.
+ABOUT, SINGLE, SEVERAL, HOLDERS = range(4)
+
 
 def _pack(docs: DataFrame, k: int, shards: int) -> DataFrame:
-    """Rows ``shard, block, hashes, owner, sizes``; each block also has a row that tells of its documents."""
+    """Rows ``shard, block, kind, hashes, owner, sizes``.
+
+    Equal sets of a block are dealt out once, and so is a shingle that several sets of the block hold: what
+    a hot text or shingle sends to its shard grows with the blocks and not with the documents.
+    """
 
     def flush(ids: list, sets: list[np.ndarray], block: int) -> Iterator[dict]:
-        sizes = np.array([len(s) for s in sets], "<u4")
-        digests = b"".join(xxhash.xxh128_digest(s.tobytes()) for s in sets)
-        yield {"shard": -1 - block % shards, "block": block, "hashes": digests, "owner": np.array(ids, "<i8").tobytes(), "sizes": sizes.tobytes()}
-        flat = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets), dtype="<u2"), sizes)
-        shard = ((flat >> np.uint64(40)) * np.uint64(shards)) >> np.uint64(24)
-        by = np.argsort(shard.astype(np.uint16 if shards <= 65536 else np.uint32), kind="stable")
+        def row(kind: int, shard: int, hashes: bytes, owner: np.ndarray, sizes: np.ndarray) -> dict:
+            return {"shard": shard, "block": block, "kind": kind, "hashes": hashes, "owner": owner.tobytes(), "sizes": sizes.astype("<u4").tobytes()}
+
+        here = -1 - block % shards
+        digests = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
+        yield row(ABOUT, here, b"".join(digests), np.array(ids, "<i8"), np.array([len(s) for s in sets]))
+        first: dict[bytes, int] = {}
+        for i, d in enumerate(digests):
+            first.setdefault(d, i)
+        dealt = sorted(first.values())
+        flat = np.concatenate([sets[i] for i in dealt])
+        owner = np.repeat(np.array(dealt, "<u2"), [len(sets[i]) for i in dealt])
+        by = np.argsort(flat, kind="stable")
         flat, owner = flat[by], owner[by]
-        edge = np.searchsorted(shard[by], np.arange(shards + 1))
-        for j in range(shards):
-            if edge[j] < edge[j + 1]:
-                part = flat[edge[j] : edge[j + 1]]
-                low = part.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
-                yield {"shard": j, "block": block, "hashes": low.tobytes(), "owner": owner[edge[j] : edge[j + 1]].tobytes(), "sizes": b""}
+        new = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        count = np.diff(np.append(new, len(flat)))
+        lone = np.repeat(count == 1, count)
+        few, few_owner = flat[lone], owner[lone]
+        many, many_count = flat[new[count > 1]], count[count > 1]
+        if len(many):
+            yield row(HOLDERS, here, many.astype("<u8").tobytes(), owner[~lone], many_count)
+        # Hashes ascend, so a shard's are a slice: the shard is the hash's place in as many equal ranges.
+        for kind, part, of, sizes in ((SINGLE, few, few_owner, None), (SEVERAL, many, None, many_count)):
+            shard = ((part >> np.uint64(40)) * np.uint64(shards)) >> np.uint64(24)
+            edge = np.searchsorted(shard, np.arange(shards + 1))
+            for j in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+                at = slice(edge[j], edge[j + 1])
+                none = np.zeros(0, "<u2")
+                yield row(kind, j, part[at].astype("<u8").tobytes(), none if of is None else of[at], none if sizes is None else sizes[at])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(k)
@@ -126,49 +154,61 @@ def _pack(docs: DataFrame, k: int, shards: int) -> DataFrame:
         del shingler, ids, sets
         give_back()
 
-    return small_batches(docs).mapInPandas(run, "shard int, block bigint, hashes binary, owner binary, sizes binary")
+    return small_batches(docs).mapInPandas(run, "shard int, block bigint, kind int, hashes binary, owner binary, sizes binary")
+
+
+def _joined(cells: pd.Series, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), kind)
 
 
 def _repeated(packed: DataFrame) -> DataFrame:
-    """Per shard, the entries whose shingle two or more documents hold: ``block, hashes, owner, held``."""
+    """Per shard, the entries whose shingle two or more sets hold: ``block, kind, hashes, owner, held``."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        names = ["block", "kind", "hashes", "owner", "held"]
         if key[0] < 0:  # what blocks tell of their documents passes through
-            return rows[["block", "hashes", "owner", "sizes"]].rename(columns={"sizes": "held"}).assign(about=True)
-        counts = [len(o) // 2 for o in rows["owner"]]
-        low = np.zeros((sum(counts), 8), np.uint8)
-        low[:, :7] = np.frombuffer(b"".join(rows["hashes"]), np.uint8).reshape(-1, 7)
-        h = low.view("<u8").ravel()
-        owner = np.frombuffer(b"".join(rows["owner"]), "<u2")
+            return rows.rename(columns={"sizes": "held"})[names]
+        h = _joined(rows["hashes"], "<u8")
+        weight = np.concatenate([np.frombuffer(s, "<u4") if kind == SEVERAL else np.ones(len(x) // 8, np.uint32) for kind, x, s in zip(rows["kind"], rows["hashes"], rows["sizes"], strict=True)])
         by = np.argsort(h)
-        s = h[by]
-        new = np.concatenate([[True], s[1:] != s[:-1]])
-        held_sorted = np.diff(np.concatenate([np.flatnonzero(new), [len(s)]]))[np.cumsum(new) - 1]
-        held = np.empty(len(s), np.int64)
-        held[by] = held_sorted
+        new = np.concatenate([[True], h[by][1:] != h[by][:-1]])
+        run_of = np.cumsum(new) - 1
+        held = np.empty(len(h), np.int64)
+        held[by] = np.add.reduceat(weight[by].astype(np.int64), np.flatnonzero(new))[run_of]
         out, at = [], 0
-        for block, n in zip(rows["block"], counts, strict=True):
-            here = slice(at, at + n)
+        for block, kind, x, o in zip(rows["block"], rows["kind"], rows["hashes"], rows["owner"], strict=True):
+            here = slice(at, at := at + len(x) // 8)
             keep = held[here] >= 2
             if keep.any():
-                hashes = h[here][keep] | np.uint64((key[0] & 255) << 56)
-                out.append({"block": block, "hashes": hashes.astype("<u8").tobytes(), "owner": owner[here][keep].tobytes(), "held": np.minimum(held[here][keep], 65535).astype("<u2").tobytes(), "about": False})
-            at += n
-        return pd.DataFrame(out, columns=["block", "hashes", "owner", "held", "about"])
+                owner = np.frombuffer(o, "<u2")[keep] if kind == SINGLE else np.zeros(0, "<u2")
+                out.append((block, kind, h[here][keep].tobytes(), owner.tobytes(), np.minimum(held[here][keep], MOST_HELD).astype("<u2").tobytes()))
+        return pd.DataFrame(out, columns=names)
 
-    return packed.groupBy("shard").applyInPandas(run, "block bigint, hashes binary, owner binary, held binary, about boolean")
+    return packed.groupBy("shard").applyInPandas(run, "block bigint, kind int, hashes binary, owner binary, held binary")
 
 
 def _sets(repeated: DataFrame, percent: int) -> DataFrame:
-    """Per document ``id, n, digest`` and, if it can link at all, ``shared``: its repeated shingles, rare first."""
+    """Per document ``id, n, digest`` and ``shared``: its repeated shingles, rare first.
+
+    ``shared`` is null where too few shingles are repeated to link, and for sets equal to one before them in the block.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        about = rows[rows["about"]].iloc[0]
+        def of(kind: int) -> pd.DataFrame:
+            return rows[rows["kind"] == kind]
+
+        about = of(ABOUT).iloc[0]
         ids, sizes = np.frombuffer(about["owner"], "<i8"), np.frombuffer(about["held"], "<u4").astype(np.int64)
-        rest = rows[~rows["about"].astype(bool)]
-        h = np.frombuffer(b"".join(rest["hashes"]), "<u8")
-        owner = np.frombuffer(b"".join(rest["owner"]), "<u2").astype(np.int64)
-        held = np.frombuffer(b"".join(rest["held"]), "<u2")
+        single, several, holders = of(SINGLE), of(SEVERAL), of(HOLDERS)
+        h, owner, held = _joined(single["hashes"], "<u8"), _joined(single["owner"], "<u2"), _joined(single["held"], "<u2")
+        if len(holders):
+            known, known_held = _joined(several["hashes"], "<u8"), _joined(several["held"], "<u2")
+            by = np.argsort(known)
+            mine, count = _joined(holders["hashes"], "<u8"), _joined(holders["held"], "<u4")
+            at = by[np.searchsorted(known, mine, sorter=by)]
+            h, owner = np.concatenate([h, np.repeat(mine, count)]), np.concatenate([owner, _joined(holders["owner"], "<u2")])
+            held = np.concatenate([held, np.repeat(known_held[at], count)])
+        owner = owner.astype(np.int64)
         have = np.bincount(owner, minlength=len(ids))
         can = (sizes > 0) & (have >= least_overlap(sizes, percent))
         keep = can[owner]
@@ -209,7 +249,7 @@ def _prefixes(reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _candidates(groups: DataFrame, percent: int) -> DataFrame:
-    """Edges ``a, b`` between groups that share a prefix shingle and may link; chains for common shingles."""
+    """Edges ``a, b`` between groups that share a prefix shingle and may link; stars for common shingles."""
     postings = groups.select("gid", "n", F.posexplode("prefix").alias("k", "shingle"), "first").select("shingle", "gid", "n", (F.col("first") + F.col("k")).alias("place"))
     common = postings.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1")
     met = postings.join(common, "shingle")
@@ -219,16 +259,15 @@ def _candidates(groups: DataFrame, percent: int) -> DataFrame:
     need = F.ceil(percent * (nx + ny) / (100 + percent) - 1e-9)
     pairs = pairs.where((100 * nx >= percent * ny) & (1 + F.least(px, py) + F.least(nx - px, ny - py) - 1 >= need))
     pairs = pairs.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b"))
-    # A common shingle: neighbours in size order, so far as their sizes may link.  Cut into runs of sizes,
-    # so that one shingle's groups are many tasks' work.
+    # A common shingle: its groups fall into runs of sizes that may all link, and each hangs on the smallest
+    # of its run.  Runs whose ends may link are bridged.  Smallest and ends are summed per task first, so no
+    # task sorts one shingle's groups; the join that hands the smallest back is split by AQE.
     many = met.where(F.col("m") > CHAIN_FROM).withColumn("run", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.01 / percent))))
-    in_run = Window.partitionBy("shingle", "run").orderBy("n", "gid")
-    chain = many.withColumn("before", F.lag("gid").over(in_run)).where("before IS NOT NULL").select(F.col("before").alias("a"), F.col("gid").alias("b"))
-    ends = many.groupBy("shingle", "run").agg(F.min(F.struct("n", "gid")).alias("low"), F.max(F.struct("n", "gid")).alias("high"))
-    across = Window.partitionBy("shingle").orderBy("run")
-    bridge = ends.withColumn("prior", F.lag(F.struct("run", "high")).over(across)).where((F.col("prior.run") == F.col("run") - 1) & (100 * F.col("prior.high.n") >= percent * F.col("low.n")))
-    bridge = bridge.select(F.col("prior.high.gid").alias("a"), F.col("low.gid").alias("b"))
-    return pairs.unionByName(chain).unionByName(bridge).where("a <> b").distinct()
+    runs = many.groupBy("shingle", "run").agg(F.min("gid").alias("head"), F.min("n").alias("low"), F.max("n").alias("high"))
+    hung = many.join(runs, ["shingle", "run"]).select(F.col("head").alias("a"), F.col("gid").alias("b"))
+    across = Window.partitionBy("shingle").orderBy("run")  # a shingle has as many runs as sizes have powers
+    bridge = runs.withColumn("prior", F.lag(F.struct("run", "head", "high")).over(across)).where((F.col("prior.run") == F.col("run") - 1) & (100 * F.col("prior.high") >= percent * F.col("low")))
+    return pairs.unionByName(hung).unionByName(bridge.select(F.col("prior.head").alias("a"), F.col("head").alias("b"))).where("a <> b").distinct()
 
 
 # --- 4. verification -----------------------------------------------------------------------------------
@@ -279,33 +318,18 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarr
     return np.rint(out).astype(np.int64)
 
 
-def _forest(links: np.ndarray, ids: np.ndarray, other: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """A spanning forest of the linked (row, column) pairs, by union-find."""
-    i, j = np.nonzero(links)
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := parent.get(x, x)) != x:
-            parent[x] = parent.get(p, p)
-            x = p
-        return x
-
-    out = []
-    for x, y in zip(ids[i].tolist(), other[j].tolist(), strict=True):
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            parent[max(rx, ry)] = min(rx, ry)
-            out.append((x, y))
-    return out, links.sum(1), links.sum(0)
-
-
 def _verify(members: DataFrame, percent: int) -> DataFrame:
-    """``members`` (cluster, id, n, shared) to ``a, b`` (forest edges) and ``a, links`` (link counts, b null)."""
+    """``members`` (cluster, id, n, shared) to ``a, b, links, whole``.
+
+    Each linked member has a row with the smallest id ``b`` of those it is connected with in the piece, itself
+    included, and its number of links there.  ``whole`` tells that the piece is its whole cluster, so ``b`` is
+    final; else the pieces' rows are edges to be connected.
+    """
     order = Window.partitionBy("cluster")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("m"), F.min("n").alias("least"))
     rows = members.join(sizes, "cluster").where("m > 1")
     small = rows.where(F.col("m") <= 2 * TILE).withColumn("piece", F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"))))
-    small = small.withColumn("tile", F.lit(0))
+    small = small.withColumn("tile", F.lit(0)).withColumn("whole", F.lit(True))
     # Large clusters: tiles of neighbouring sizes; a tile meets those whose sizes may link.
     large = rows.where(F.col("m") > 2 * TILE)
     ranked = large.withColumn("tile", F.floor((F.row_number().over(order.orderBy("n", "id")) - 1) / TILE).cast("int"))
@@ -314,8 +338,8 @@ def _verify(members: DataFrame, percent: int) -> DataFrame:
     meets = tiles.join(other, (F.col("cluster") == F.col("c2")) & (F.col("t2") >= F.col("tile")) & (100 * F.col("high") >= percent * F.col("low2")))
     meets = meets.select("cluster", F.col("tile").alias("x"), F.col("t2").alias("y"))
     ends = meets.select("cluster", F.explode(F.array_distinct(F.array("x", "y"))).alias("tile"), F.struct("x", "y").alias("p")).groupBy("cluster", "tile").agg(F.collect_list("p").alias("piece"))
-    large = ranked.join(ends, ["cluster", "tile"]).select(*small.columns)
-    dealt = small.unionByName(large).select("cluster", "id", "n", "shared", "tile", F.explode("piece").alias("p")).select("cluster", "id", "n", "shared", "tile", "p.x", "p.y")
+    large = ranked.join(ends, ["cluster", "tile"]).withColumn("whole", F.lit(False)).select(*small.columns)
+    dealt = small.unionByName(large).select("cluster", "id", "n", "shared", "tile", "whole", F.explode("piece").alias("p")).select("cluster", "id", "n", "shared", "tile", "whole", "p.x", "p.y")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["tile", "n", "id"])
@@ -334,13 +358,15 @@ def _verify(members: DataFrame, percent: int) -> DataFrame:
         links = 100 * both >= percent * (n[:, None] + n2[None, :] - both)
         if x == y:
             np.fill_diagonal(links, False)
-        edges, out, back = _forest(links, ids, ids2)
-        told = [(i, None, int(c)) for i, c in zip(ids.tolist(), out.tolist(), strict=True) if c]
+        i, j = np.nonzero(links)
+        root = forest(zip(ids[i].tolist(), ids2[j].tolist(), strict=True))
+        count = dict(zip(ids.tolist(), links.sum(1).tolist(), strict=True))
         if x != y:
-            told += [(i, None, int(c)) for i, c in zip(ids2.tolist(), back.tolist(), strict=True) if c]
-        return pd.DataFrame([(a, b, None) for a, b in edges] + told, columns=["a", "b", "links"]).astype("Int64")
+            count |= dict(zip(ids2.tolist(), links.sum(0).tolist(), strict=True))
+        out = [(a, b, count[a], bool(rows["whole"].iloc[0])) for a, b in root.items()]
+        return pd.DataFrame(out, columns=["a", "b", "links", "whole"])
 
-    return dealt.groupBy("cluster", "x", "y").applyInPandas(run, "a bigint, b bigint, links bigint")
+    return dealt.groupBy("cluster", "x", "y").applyInPandas(run, "a bigint, b bigint, links bigint, whole boolean")
 
 
 # --- 5. classes ----------------------------------------------------------------------------------------
@@ -354,10 +380,10 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     shards = pieces(rows, 4 << 20, least=4)
     sets = materialize(_sets(_repeated(_pack(rows, k, shards)), percent))
-    able = sets.where("shared IS NOT NULL")
     # Equal sets collapse; sums of small columns, so a text copied a million times is one row a task.
-    equal = able.groupBy("n", "digest").agg(F.min("id").alias("set_id"))
-    reps = able.join(equal.select(F.col("set_id")), F.col("id") == F.col("set_id"), "left_semi").dropDuplicates(["id", "digest"])
+    equal = sets.where("n > 0").groupBy("n", "digest").agg(F.min("id").alias("set_id"), F.min(F.when(F.col("shared").isNotNull(), F.col("id"))).alias("id"))
+    able = sets.where("shared IS NOT NULL").join(equal.where("id IS NOT NULL"), ["n", "digest", "id"]).dropDuplicates(["set_id", "digest"])
+    reps = able.select(F.col("set_id").alias("id"), "n", "shared")
     prefixes = materialize(_prefixes(reps, percent))
     groups = prefixes.groupBy("n", "sig", "whole").agg(F.min("id").alias("gid"))
     grouped = prefixes.join(groups, ["n", "sig", "whole"]).select("id", "n", "prefix", "first", "gid")
@@ -365,35 +391,38 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_i
     clusters = connected(edges)
     member = grouped.select("id", "gid").distinct().join(clusters.withColumnRenamed("node", "gid"), "gid", "left").select("id", F.coalesce("root", "gid").alias("cluster"))
     verified = materialize(_verify(reps.join(member, "id").select("cluster", "id", "n", "shared"), percent))
-    same_id = able.groupBy("id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).where("d1 <> d2").select("id")
-    # Rows of one id with different texts share a class: their sets' first ids are linked through it.
-    through = able.join(same_id, "id", "left_semi").join(equal, ["n", "digest"]).select(F.col("id").alias("a"), F.col("set_id").alias("b")).where("a <> b")
-    roots = connected(verified.where("b IS NOT NULL").select("a", "b").unionByName(through))
-    links = verified.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("set_links"))
-    known = equal.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").join(links.withColumnRenamed("a", "set_id"), "set_id", "left")
-    known = known.select(F.col("n").alias("kn"), F.col("digest").alias("kd"), "set_id", "root", "set_links")
+    # Clusters of one piece are settled: their rows name the root.  Pieces of large clusters are connected, and
+    # so are the sets of rows that share an id and have different texts, by way of the roots they have.
+    near = verified.where("whole").select(F.col("a").alias("node"), F.col("b").alias("near"))
+
+    def lifted(df: DataFrame, col: str) -> DataFrame:
+        return df.join(near.withColumnRenamed("node", col), col, "left").withColumn(col, F.coalesce("near", col)).drop("near")
+
+    same_id = sets.where("n > 0").groupBy("id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).where("d1 <> d2").select("id")
+    through = sets.join(same_id, "id", "left_semi").where("n > 0").join(equal.drop("id"), ["n", "digest"]).select(F.col("id").alias("a"), F.col("set_id").alias("b")).where("a <> b")
+    far = connected(verified.where(~F.col("whole")).select("a", "b").unionByName(lifted(lifted(through, "a"), "b")))
+    links = verified.groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("set_links"))
+    known = equal.select("n", "digest", "set_id").join(near.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("near", F.coalesce("near", "set_id"))
+    known = known.join(far.withColumnRenamed("node", "near"), "near", "left").join(links, "set_id", "left")
+    known = known.select(F.col("n").alias("kn"), F.col("digest").alias("kd"), "set_id", F.coalesce("root", "near").alias("root"), "set_links")
     out = sets.select("id", "n", "digest").join(known, (F.col("n") == F.col("kn")) & (F.col("digest") == F.col("kd")), "left")
     return out.select(
         "id",
         F.col("n").alias("n_shingles"),
-        F.coalesce("root", "set_id", "id").alias("component_id"),
+        F.coalesce("root", "id").alias("component_id"),
         F.coalesce("set_id", "id").alias("set_id"),
         F.coalesce("set_links", F.lit(0).cast("long")).alias("set_links"),
     )
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without near-duplicates: of each class the row with the smallest id stays, and rows without an id.
+    """``docs`` without near-duplicates: of each class the smallest id stays, and rows without an id.
 
-    Of rows that repeat both id and text one stays.
+    Rows that repeat an id are one document: they all stay, or all go if each of them belongs to another's class.
     """
     found = classes(docs, k, percent, id_col, text_col)
-    # An id goes only if every row of it belongs to another's class.
     gone = found.groupBy("id").agg(F.max("component_id").alias("c")).where("c <> id").select(F.col("id").alias("gone_id"))
-    kept = docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
-    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("m")).where("m > 1").select(F.col(id_col).alias("again_id"))
-    hits = F.col(id_col) == F.col("again_id")
-    return kept.join(again, hits, "left_anti").unionByName(kept.join(again, hits, "left_semi").dropDuplicates([id_col, text_col]))
+    return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
