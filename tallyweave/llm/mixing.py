@@ -5,8 +5,9 @@ that cannot use its share leaves the rest to its siblings first, and only what a
 use reaches its parent's siblings.  Each leaf then takes whole epochs, and of one more epoch the longest
 prefix of documents, in that epoch's seeded order, whose tokens fit.
 
-Prefix sums are taken in two steps, over 4096 slices of the order and within a slice, so a leaf that
-holds a third of all documents is spread over as many tasks.
+Prefix sums are taken in two steps, over 4096 slices of the order and within a slice: rows are dealt out by
+leaf and slice, so a leaf that holds a third of all documents is spread over as many tasks.  The table of
+leaves is sent to the rows while it is short; beyond that, rows meet it by leaf and salt.
 
 Contract for odd input: null domain, language or source is the empty string; null or empty texts have no
 tokens and are taken when their place in the order lies in the prefix; weights that are not given are 1
@@ -22,9 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyweave.llm.common import materialize, table
+from tallyweave.llm.common import materialize, pieces, table
 
 LEVELS = ("domain", "lang", "source")
+#: Leaves up to which their budgets are broadcast (some hundred bytes each); salts of the join beyond that.
+MOST_SENT, SALTS = 50_000, 64
 Weights = Mapping[str, Mapping[str, int]]
 #: Names of the domains that the production query sorts sources into.
 DOMAINS = ("web", "books", "forum", "reference")
@@ -83,11 +86,11 @@ def mix(docs: DataFrame, share: float = 0.6, max_epochs: int = 3, weights: Weigh
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(domain, F.lit("")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), source.alias("source"), count_tokens(F.col(text_col)).alias("n_tokens"))
     rows = materialize(rows)  # small rows; the texts are read once
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
-    plan = budgets(leaves, share, max_epochs, weights)
+    plan = materialize(budgets(leaves, share, max_epochs, weights))
     whole = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0).cast("long"))
-    placed = rows.join(plan, list(LEVELS)).withColumn("epochs", whole)
+    placed = _with_budget(rows, plan).withColumn("epochs", whole)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
-    placed = placed.withColumn("place", key).withColumn("slice", F.substring("place", 1, 3))
+    placed = placed.withColumn("place", key).withColumn("slice", F.substring("place", 1, 3)).repartition(pieces(rows, 4 << 20), *LEVELS, "slice")
     slices = placed.groupBy(*LEVELS, "slice").agg(F.sum("n_tokens").alias("in_slice"))
     before = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
     slices = slices.select(*LEVELS, "slice", (F.sum("in_slice").over(before) - F.col("in_slice")).alias("before"))
@@ -97,6 +100,14 @@ def mix(docs: DataFrame, share: float = 0.6, max_epochs: int = 3, weights: Weigh
     return placed.select("id", *LEVELS, "n_tokens", "budget", (F.col("epochs") + fits.cast("long")).alias("copies"))
 
 
+def _with_budget(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with their leaf's budget and tokens; no task gets a leaf's rows as a whole."""
+    if plan.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        return rows.join(F.broadcast(plan), list(LEVELS))
+    salted = plan.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id", "n_tokens"), F.lit(SALTS)).cast("int")).join(salted, [*LEVELS, "salt"]).drop("salt")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 

@@ -95,6 +95,20 @@ def test_odd_rows(nasty, empty):
         mx.mix(nasty, weights={"lang": {"en": -1}})
 
 
+def test_hot_leaves_are_split(spark, monkeypatch):
+    """Rows are dealt by leaf and slice; the join with a long table of leaves is salted and gives the same."""
+    rows = [(i, "w " * (i % 9), "en", "s0") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    mixed = mx.mix(df)
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    within = plan[plan.index("sum(n_tokens") :]
+    assert "hashpartitioning(domain" in within and "slice" in within.split("hashpartitioning(", 1)[1].split(")", 1)[0]
+    want = sorted(map(tuple, mixed.collect()))
+    monkeypatch.setattr(mx, "MOST_SENT", 0)
+    salted = mx.mix(df)
+    assert "salt" in salted._jdf.queryExecution().toString() and sorted(map(tuple, salted.collect())) == want
+
+
 def test_no_python_in_the_plan(nasty):
     plan = mx.mix(nasty)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
