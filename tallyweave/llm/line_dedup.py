@@ -2,8 +2,9 @@
 
 Hashes of line keys are range-partitioned on (key, document), so even a key that a third of all lines
 share is spread over many tasks, and sorted by document and position inside each partition.  Each
-partition streams through its keys and hands on one partial count and one first holder for each; the
-small partials meet by key.  What comes back for a document is a sparse bitmap of its lines, never text.
+partition streams through its keys and hands on one partial count and its largest holder for each; the
+small partials meet by key, and the verdicts go back to the lines: those of the few hot keys to where
+the lines are, the others by hash.  What comes back for a document is a sparse bitmap of its lines, never text.
 
 Contract for odd input: a null or empty text is one empty line; rows without an id keep all lines and
 hold none for others; rows that repeat an id are one document, each row keeping its own lines; lines
@@ -15,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import pieces, table
+from tallyweave.llm.common import materialize, pieces, table
 
 BLANKS = " \t\n\x0b\x0c\r"
+#: Keys of more than one HOT-th of the repeated lines are hot; there can be fewer than HOT of them.
+HOT = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,13 +47,22 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col
     ``words`` is an array of (index, bits), 64 lines to a word; words without a lost line are left out.
     A key found in ``min_docs`` documents keeps its lines in the largest id alone.
     """
-    lines = keyed_lines(docs, min_chars, id_col, text_col)
+    lines = materialize(keyed_lines(docs, min_chars, id_col, text_col))  # hashed once, for sampling and dealing
     ranged = lines.repartitionByRange(pieces(docs, 8 << 20), "h1", "h2", "id")
     # The range partitioning serves the grouping by key and document: sorted rows stream through it.
     streamed = ranged.sortWithinPartitions("h1", "h2", "id", "pos")
-    holders = streamed.groupBy("h1", "h2", "id").agg(F.min(F.struct("pos", "tag")).alias("first"))
-    shared = holders.groupBy("h1", "h2").agg(F.count("first").alias("n_docs"), F.max(F.struct("id", "first")).alias("kept_at")).where(F.col("n_docs") >= min_docs)
-    lost = ranged.join(shared.select("h1", "h2", "kept_at"), ["h1", "h2"]).where(F.col("id") < F.col("kept_at.id"))
+    holders = streamed.groupBy("h1", "h2", "id").agg(F.count("*").alias("n_lines"))
+    shared = holders.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.sum("n_lines").alias("n_lines"), F.max("id").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    shared = materialize(shared.select("h1", "h2", "keeper", "n_lines"))
+    # A key with more than a HOT-th of these lines is hot: there are fewer than HOT, so they are sent to the lines
+    # where they are.  No other key's lines are more than a HOT-th of all, and they meet their verdict by hash.
+    total = shared.agg(F.sum("n_lines").alias("n")).first()["n"] or 0
+    hot = F.broadcast(shared.where(F.col("n_lines") * HOT > total).select(F.col("h1").alias("hot1"), F.col("h2").alias("hot2"), F.col("keeper").alias("hot_keeper")))
+    marked = ranged.join(hot, (F.col("h1") == F.col("hot1")) & (F.col("h2") == F.col("hot2")), "left")
+    lost_hot = marked.where(F.col("id") < F.col("hot_keeper"))
+    cold = shared.where(F.col("n_lines") * HOT <= total).select("h1", "h2", "keeper")
+    lost_cold = marked.where("hot_keeper IS NULL").join(cold, ["h1", "h2"]).where(F.col("id") < F.col("keeper"))
+    lost = lost_hot.select("id", "tag", "pos").unionByName(lost_cold.select("id", "tag", "pos"))
     words = lost.groupBy("id", "tag", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     return words.groupBy("id", "tag").agg(
         F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"),

@@ -41,6 +41,15 @@ def test_against_brute_force(spark, nasty, empty):
     assert run(empty) == []
 
 
+def test_hot_and_other_keys_agree(spark, monkeypatch):
+    """Verdicts that are sent to the lines and verdicts that meet them by hash are the same."""
+    rows = [(i, "\n".join([f"a line that everybody has, long enough to count {k}" for k in range(i % 4 + 1)])) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for hot in (1, 3, 4096):
+        monkeypatch.setattr(ld, "HOT", hot)
+        assert run(df) == brute(rows)
+
+
 def test_bitmaps_are_sparse(spark):
     rows = [(i, "\n".join([f"{i} {k}" for k in range(200)] + ["a line that everybody has, long enough to count"])) for i in range(6)]
     maps = ld.drop_bitmaps(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
