@@ -1,8 +1,10 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, in DataFrame functions only.
 
-A sketch keeps every distinct shingle hash below a fixed fraction of the hash space.  Sketches made with
-the same fraction merge by union, and compare without bias even when one text is far longer.  Texts of
-few shingles keep them all; two sketches are compared at the coarser of their fractions.
+A sketch keeps every distinct shingle hash below one fixed fraction of the hash space, whatever the text's
+length, so sketches merge by union and compare without bias even when one text is far longer.  The
+smallest hash is kept too where it is not below: so texts that are too short to have one below still have a sketch,
+and it merges as well (the smallest of a union is the smallest of the smallest).  Only hashes below the
+fraction are counted when two sketches are compared, but where both have none their smallest are.
 
 Contract for odd input: a null text is empty; a text of fewer words than a shingle is one shingle, one
 without words has an empty sketch; two empty sketches are alike (1.0), an empty and a filled one are not
@@ -20,8 +22,8 @@ from pyspark.sql.window import Window
 
 from tallyweave.llm.common import materialize, pieces, table
 
-#: Words in a shingle; one hash in SCALE is kept; texts of up to WHOLE shingles keep all.
-WORDS, SCALE, WHOLE = 5, 8, 128
+#: Words in a shingle; one hash in SCALE is kept.
+WORDS, SCALE = 5, 4
 #: Hashes are signed: kept ones lie in the lowest part of their range.
 LIMIT = -(1 << 63) + (1 << 64) // SCALE
 
@@ -43,13 +45,17 @@ def shingle_hashes(text: Column, k: int = WORDS) -> Column:
 
 
 def sketch(text: Column, k: int = WORDS) -> Column:
-    """``struct<whole: boolean, hashes: array<bigint>>``, hashes distinct and ascending."""
+    """Array of the kept hashes, distinct and ascending."""
+    return let(shingle_hashes(text, k), kept)
 
-    def keep(h: Column) -> Column:
-        few = F.size(h) <= WHOLE
-        return F.struct(few.alias("whole"), F.sort_array(F.array_distinct(F.when(few, h).otherwise(below(h)))).alias("hashes"))
 
-    return let(shingle_hashes(text, k), keep)
+def kept(hashes: Column) -> Column:
+    """Of hashes those below the limit, or the smallest alone."""
+
+    def or_least(low: Column) -> Column:
+        return F.when((F.size(low) > 0) | (F.size(hashes) == 0), F.sort_array(F.array_distinct(low))).otherwise(F.array(F.array_min(hashes)))
+
+    return let(below(hashes), or_least)
 
 
 def below(hashes: Column) -> Column:
@@ -57,17 +63,16 @@ def below(hashes: Column) -> Column:
 
 
 def merge(a: Column, b: Column) -> Column:
-    """The sketch of two texts together, at the coarser fraction."""
-    whole = a["whole"] & b["whole"]
-    return F.struct(whole.alias("whole"), F.sort_array(F.when(whole, F.array_union(a["hashes"], b["hashes"])).otherwise(F.array_union(below(a["hashes"]), below(b["hashes"])))).alias("hashes"))
+    """The sketch of the shingles of two texts together."""
+    return let(F.array_union(a, b), kept)
 
 
 def _shared(a: Column, b: Column, use: Callable[[Column, Column, Column], Column]) -> Column:
-    """``use(size of a, size of b, size of both)`` at the coarser fraction."""
-    whole = a["whole"] & b["whole"]
-    x = F.when(whole, a["hashes"]).otherwise(below(a["hashes"]))
-    y = F.when(whole, b["hashes"]).otherwise(below(b["hashes"]))
-    sizes = let(F.struct(x.alias("x"), y.alias("y")), lambda s: F.struct(F.size(s["x"]).alias("x"), F.size(s["y"]).alias("y"), F.size(F.array_intersect(s["x"], s["y"])).alias("both")))
+    """``use(size of a, size of b, size of both)``, over hashes below the limit where either has any."""
+    low = F.struct(below(a).alias("x"), below(b).alias("y"))
+    whole = F.struct(a.alias("x"), b.alias("y"))
+    sides = let(low, lambda s: F.when((F.size(s["x"]) > 0) | (F.size(s["y"]) > 0), s).otherwise(whole))
+    sizes = let(sides, lambda s: F.struct(F.size(s["x"]).alias("x"), F.size(s["y"]).alias("y"), F.size(F.array_intersect(s["x"], s["y"])).alias("both")))
     return let(sizes, lambda s: use(s["x"], s["y"], s["both"]))
 
 
@@ -82,8 +87,8 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def fingerprint(s: Column) -> Column:
-    """A sketch as text: its kind, then its hashes."""
-    return F.concat(F.when(s["whole"], "w").otherwise("s"), F.lit(f"{WORDS}/{SCALE}:"), F.array_join(F.transform(s["hashes"], lambda x: F.hex(x)), "."))
+    """A sketch as text: its parameters, then its hashes."""
+    return F.concat(F.lit(f"s{WORDS}/{SCALE}:"), F.array_join(F.transform(s, lambda x: F.hex(x)), "."))
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
@@ -111,14 +116,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumns({"key": F.xxhash64("doc_id", "text"), "key2": F.hash("text", "doc_id")})
     links = neighbours(rows.select("doc_id", "key", "key2", F.length("text").alias("n_chars")).distinct()).hint("shuffle_merge")
-    texts = rows.withColumn("sketch", sketch(F.col("text")))
-    # The same shuffle of texts serves both joins; identical rows are one document to the one before them.
-    once = texts.withColumn("nth", F.count("*").over(Window.partitionBy("key", "key2").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))).where("nth = 1")
+    # The same shuffle of texts serves both joins, and sketches are made behind it; identical rows are one
+    # document to the one before them.
+    once = rows.withColumn("nth", F.count("*").over(Window.partitionBy("key", "key2").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))).where("nth = 1")
     heads = once.alias("o").join(links.alias("l"), (F.col("o.key") == F.col("l.next_key")) & (F.col("o.key2") == F.col("l.next_key2")))
-    heads = heads.select(F.col("l.key"), F.col("l.key2"), F.expr("substring(o.text, 1, l.n_chars div 2)").alias("head"), F.col("o.sketch").alias("next_sketch"))
-    both = texts.alias("t").join(heads.alias("h"), (F.col("t.key") == F.col("h.key")) & (F.col("t.key2") == F.col("h.key2")))
+    heads = heads.select(F.col("l.key"), F.col("l.key2"), F.expr("substring(o.text, 1, l.n_chars div 2)").alias("head"), sketch(F.col("o.text")).alias("next_sketch"))
+    both = rows.alias("t").join(heads.alias("h"), (F.col("t.key") == F.col("h.key")) & (F.col("t.key2") == F.col("h.key2")))
     edited = F.concat(F.expr("substring(t.text, 1, length(t.text) - length(t.text) div 2)"), F.col("h.head"))
-    out = both.select(F.col("t.doc_id"), F.length("t.text").cast("long").alias("n_chars"), F.col("t.sketch"), F.col("h.next_sketch"), edited.alias("edited"))
+    out = both.select(F.col("t.doc_id"), F.length("t.text").cast("long").alias("n_chars"), sketch(F.col("t.text")).alias("sketch"), F.col("h.next_sketch"), edited.alias("edited"))
     return out.withColumn("edited_sketch", sketch(F.col("edited")))
 
 
