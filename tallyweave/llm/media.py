@@ -7,11 +7,13 @@ four tables of 31; descriptors that differ in at most three bits agree in one ta
 the tables finds every such pair.  Matches vote for the move that takes one image to the other, and a
 pair counts as a copy when enough of them agree.
 
-Identical images are described and searched once; a result names the smallest id of its class.
+Identical images are described and searched once; a result names the smallest id of its class.  An image is
+told by its ``CORNERS`` strongest corners a scale, as its signature: the number bounds what an image sends.
 
 Contract for odd input: a null, empty or broken image, or one smaller than a disc, has no corners and
 matches only identical bytes, if any; flat images have no corners; an empty table gives an empty
-result; rows without an id are not searched for or found; other columns are never read.
+result; rows without an id are not searched for or found; rows that share an id and have different images are searched
+and found as the images they are; other columns are never read.
 """
 
 from __future__ import annotations
@@ -186,18 +188,28 @@ def agreeing(pairs: DataFrame, least_votes: int = 1, reach: float = 4.0) -> Data
 def find_copies(queries: DataFrame, images: DataFrame, least_votes: int = 6) -> DataFrame:
     """``query_id, class_id, class_size, votes, dy, dx, zoom``: one row for each class of identical images a
     query is a copy of; a query that is no copy of any has one row of nulls.  Inputs: rows of (id, image)."""
-    known = images.where("id IS NOT NULL").withColumn("bytes", F.sha2(F.coalesce("image", F.lit(b"")), 256))
-    classes = materialize(known.groupBy("bytes").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")))
-    one = known.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    asked = queries.where("id IS NOT NULL").withColumn("bytes", F.sha2(F.coalesce("image", F.lit(b"")), 256))
-    asked_classes = materialize(asked.groupBy("bytes").agg(F.min("id").alias("ask_id")))
-    ask = asked.join(asked_classes.select(F.col("ask_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    known, classes = _classes(images, "class_id")
+    asked, asked_classes = _classes(queries, "ask_id")
+    # Of identical images one is described, under its class: classes go by bytes, never by id alone.
+    one = known.select("bytes", "image").join(classes.select("bytes", F.col("class_no").alias("id")), "bytes").dropDuplicates(["bytes"]).select("id", "image")
+    ask = asked.select("bytes", "image").join(asked_classes.select("bytes", F.col("class_no").alias("id")), "bytes").dropDuplicates(["bytes"]).select("id", "image")
     moves = agreeing(close_pairs(materialize(descriptors(ask)), materialize(descriptors(one))), least_votes).where(F.col("votes") >= least_votes)
-    same = asked_classes.join(classes, "bytes").select(F.col("ask_id").alias("a_id"), F.col("class_id").alias("b_id"), F.lit(True).alias("same"))
-    hits = moves.join(same, ["a_id", "b_id"], "full").join(classes.select(F.col("class_id").alias("b_id"), "class_size"), "b_id")
-    members = asked.select(F.col("id").alias("query_id"), "bytes").join(asked_classes, "bytes")
-    out = members.join(hits.withColumnRenamed("a_id", "ask_id"), "ask_id", "left")
-    return out.select("query_id", F.col("b_id").alias("class_id"), "class_size", F.coalesce("votes", F.lit(0).cast("long")).alias("votes"), "dy", "dx", "zoom", F.coalesce("same", F.lit(False)).alias("identical"))
+    same = asked_classes.join(classes.select("bytes", F.col("class_no").alias("b_no")), "bytes").select(F.col("class_no").alias("a_id"), F.col("b_no").alias("b_id"), F.lit(True).alias("same"))
+    found = classes.select(F.col("class_no").alias("b_id"), "class_id", "class_size")
+    hits = moves.join(same, ["a_id", "b_id"], "full").join(found, "b_id").withColumnRenamed("a_id", "class_no")
+    members = asked.select(F.col("id").alias("query_id"), "bytes").join(asked_classes.select("bytes", "class_no"), "bytes")
+    out = members.join(hits, "class_no", "left")
+    return out.select("query_id", "class_id", "class_size", F.coalesce("votes", F.lit(0).cast("long")).alias("votes"), "dy", "dx", "zoom", F.coalesce("same", F.lit(False)).alias("identical"))
+
+
+def _classes(images: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with an id and their ``bytes`` digest; and per digest ``class_no``, smallest id and size.
+
+    ``class_no`` is a hash of the digest: two images that share an id stay two classes.
+    """
+    rows = images.where("id IS NOT NULL").withColumn("bytes", F.sha2(F.coalesce("image", F.lit(b"")), 256))
+    classes = rows.groupBy("bytes").agg(F.min("id").alias(name), F.count("*").alias("class_size"))
+    return rows, materialize(classes.withColumn("class_no", F.xxhash64("bytes")))
 
 
 # --- the production query's images ----------------------------------------------------------------------

@@ -47,6 +47,28 @@ def test_turned_and_darkened(spark):
     assert got.class_id == 2
 
 
+def test_one_id_with_several_images(spark):
+    """Images that share an id are described, asked for and found each by itself, once."""
+    draw = np.random.default_rng(12)
+    a, b, c = (md.picture(draw.normal(size=32)) for _ in range(3))
+    schema = "id bigint, image binary"
+    known = spark.createDataFrame([(5, md.to_pgm(a)), (5, md.to_pgm(b)), (7, md.to_pgm(c)), (8, md.to_pgm(a))], schema)
+    asked = spark.createDataFrame([(1, md.to_pgm(md.edited(a, 40))), (2, md.to_pgm(md.edited(b, 60))), (3, md.to_pgm(md.edited(c, 80))), (3, md.to_pgm(md.edited(b, 100)))], schema)
+    got = sorted((r.query_id, r.class_id, r.class_size) for r in md.find_copies(asked, known).collect())
+    assert got == [(1, 5, 2), (2, 5, 1), (3, 5, 1), (3, 7, 1)]
+
+
+def test_rescaled_copies(spark):
+    """A copy of half the size, and one of twice, are found across scales."""
+    draw = np.random.default_rng(21)
+    big = [np.kron(md.picture(draw.normal(size=32))[::2, ::2], np.ones((4, 4), np.uint8)) for _ in range(4)]
+    half = [((p[::2, ::2].astype(int) + p[1::2, ::2] + p[::2, 1::2] + p[1::2, 1::2]) // 4).astype(np.uint8) for p in big]
+    as_df = lambda ps: spark.createDataFrame([(i, md.to_pgm(p)) for i, p in enumerate(ps)], "id bigint, image binary")
+    for asked, known, zoom in ((half, big, 2.0), (big, half, 0.5)):
+        got = md.find_copies(as_df(asked), as_df(known)).collect()
+        assert [(r.query_id, r.class_id, r.zoom) for r in sorted(got, key=lambda r: r.query_id)] == [(i, i, zoom) for i in range(4)]
+
+
 def test_odd_images(spark):
     flat = md.to_pgm(np.full((90, 90), 7, np.uint8))
     rows = [(1, None), (2, b""), (3, b"P5 9 9 255\nshort"), (4, flat), (5, flat), (6, md.to_pgm(np.zeros((3, 3), np.uint8))), (None, flat), (4, flat)]
