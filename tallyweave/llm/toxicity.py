@@ -4,8 +4,8 @@ Features are presences of hashed words, word pairs and skip pairs in a fixed spa
 Training keeps a per-coordinate rate, and L1 makes most weights exactly zero, so the model is a short
 list of (place, weight): at most ``MAX_WEIGHTS`` entries are ever sent to the executors.
 
-Learning uses a bounded sample of labelled rows (``train_rows``, those with the smallest id hash);
-scoring reads every whole text once, without a shuffle.
+Learning uses a bounded sample of labelled rows (``train_rows``, those with the smallest id hash, as far as
+their features come to ``train_bytes``); scoring reads every whole text once, without a shuffle.
 
 Contract for odd input: a null or empty text scores the bias alone; a null id counts as held out; labels
 that are null are not learnt from, and an id with several labels counts as toxic if any says so; with no
@@ -22,8 +22,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tallyweave.llm.common import give_back, small_batches, table, typed, worded
+from tallyweave.llm.common import give_back, materialize, small_batches, table, typed, worded
 
 WORDS = re.compile(r"\w+")
 BITS = 20
@@ -102,7 +103,7 @@ def held_out_column(id_col: str) -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int, id_col: str, text_col: str, label_col: str) -> list[tuple[np.ndarray, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int, train_bytes: int, id_col: str, text_col: str, label_col: str) -> list[tuple[np.ndarray, int]]:
     """Features of the bounded sample; texts stay on the executors."""
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL").where(~held_out_column("id"))
     sample = usable.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(train_rows)
@@ -113,8 +114,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int, id_col: s
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "places": [np.unique(hasher.places(t if isinstance(t, str) else "")).astype("<i4").tobytes() for t in batch["text"]]})
 
-    got = small_batches(texts).mapInPandas(features, f"id {dict(texts.dtypes)['id']}, label int, places binary").toPandas()
-    got = got.sort_values(["id", "places"]).drop_duplicates("id")
+    told = materialize(small_batches(texts).mapInPandas(features, f"id {dict(texts.dtypes)['id']}, label int, places binary"))
+    # Only ids and sizes are summed in one task, at most train_rows of them and their copies.
+    first = told.groupBy("id").agg(F.min("places").alias("places")).withColumn("n", F.octet_length("places"))
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    fits = first.select("id", "n").withColumn("upto", upto).where((F.col("upto") <= train_bytes) | (F.col("upto") == F.col("n"))).select("id")
+    got = told.join(fits, "id", "left_semi").groupBy("id", "label").agg(F.min("places").alias("places")).toPandas().sort_values("id")
     return [(np.frombuffer(p, "<i4"), int(y > 0)) for p, y in zip(got["places"], got["label"], strict=True)]
 
 
@@ -144,8 +149,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
     return typed(scored, rows, id_col).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, train_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    return score(docs, train(training_rows(docs, labels, train_rows, id_col, text_col, label_col)), id_col, text_col)
+def classify(docs: DataFrame, labels: DataFrame, train_rows: int = 10_000, train_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    return score(docs, train(training_rows(docs, labels, train_rows, train_bytes, id_col, text_col, label_col)), id_col, text_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,11 @@
+import math
+import random
+import re
 import zlib
 
+import numpy as np
+import xxhash
+
 from tallyweave.llm import toxicity as tx
 
 
@@ -27,6 +33,67 @@ def test_held_out_labels_are_not_learnt(spark, small_dir):
     assert a == b
 
 
+def plain_places(text):
+    h = [xxhash.xxh64_intdigest(w) for w in re.findall(r"\w+", text.lower())]
+    whole = (1 << 64) - 1
+    mixed = [x * int(tx.UNIT) & whole for x in h]
+    mixed += [(a * int(tx.PAIR) & whole) ^ (b * int(tx.UNIT) & whole) for a, b in zip(h, h[1:], strict=False)]
+    mixed += [(a * int(tx.SKIP) & whole) ^ (b * int(tx.UNIT) & whole) for a, b in zip(h, h[2:], strict=False)]
+    return {m >> 64 - tx.BITS for m in mixed}
+
+
+def plain_ftrl(rows, epochs=6, alpha=3.0, beta=1.0, l1=4.0, l2=0.1):
+    """One coordinate at a time, in dictionaries; -1 is the bias, which is not regularised."""
+    z, n = {}, {}
+
+    def weight(i):
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        if i == -1:
+            return -zi / ((beta + math.sqrt(ni)) / alpha)
+        return 0.0 if abs(zi) <= l1 else (math.copysign(l1, zi) - zi) / ((beta + math.sqrt(ni)) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            places, label = rows[k]
+            w = {i: weight(i) for i in (*places, -1)}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            if abs(g) < 1e-3:
+                continue
+            for i, wi in w.items():
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / alpha * wi
+                n[i] = before + g * g
+    return {i: weight(i) for i in z if i >= 0 and weight(i)}, weight(-1)
+
+
+def test_weights_and_scores_against_plain_ftrl(spark):
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice(["sun", "sea", "fool", "hill", "Idiot", "tree", "go", "away"]) for _ in range(draw.randint(0, 12))) for _ in range(160)]
+    docs = [(i, t, int("idiot" in t.lower())) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, toxic int")
+    rows = [(plain_places(t), y) for i, t, y in docs if zlib.crc32(str(i).encode()) % 5]
+    weights, bias = plain_ftrl(rows)
+    at, w, b = tx.train(tx.training_rows(df.select("doc_id", "text"), df.select("doc_id", "toxic"), 10_000, 1 << 20, "doc_id", "text", "toxic"))
+    assert weights and dict(zip(at.tolist(), w.tolist(), strict=True)) == {i: tx_close(x) for i, x in weights.items()} and abs(b - bias) < 1e-9
+    got = {r.doc_id: r.score for r in tx.classify(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
+    for i, t, _ in docs:
+        assert abs(got[i] - 1 / (1 + math.exp(-(bias + sum(weights.get(p, 0.0) for p in plain_places(t)))))) < 1e-9
+
+
+def tx_close(x):
+    import pytest
+
+    return pytest.approx(x, rel=1e-9, abs=1e-12)
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(100)), i % 2) for i in range(60)], "doc_id bigint, text string, toxic int")
+    whole = tx.training_rows(df, df, 10_000, 1 << 20, "doc_id", "text", "toxic")
+    few = tx.training_rows(df, df, 10_000, 12_000, "doc_id", "text", "toxic")
+    assert len(few) < len(whole) and 10_000 < sum(p.nbytes for p, _ in few) <= 12_000
+
+
 def test_training_is_sparse_and_learns():
     hasher = tx.Hasher()
     rows = [(tx.np.unique(hasher.places(f"calm words number {i} and {i * 7} here" + (" idiot" if i % 4 == 0 else ""))), int(i % 4 == 0)) for i in range(400)]
