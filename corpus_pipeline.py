@@ -28,27 +28,32 @@ MIX_SHARE = 0.8
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts, and rows without an id, stay; an id goes only if every row of it is rejected."""
     docs = docs.select(*COLUMNS)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row stays; a null text becomes the empty one, and rows without an id keep all lines."""
     cleaned = line_dedup.dedup_lines(docs.select(*COLUMNS))
     text = F.col("kept_text")
     return cleaned.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
 def stage_near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without words or an id stay; rows that share an id stay or go together."""
     return jaccard.keep_one(docs.select(*COLUMNS), k=5, percent=80)
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null languages and sources are the empty one; rows that share an id stay if one of them is taken."""
     docs = docs.select(*COLUMNS)
     taken = mixing.mix(docs, share=MIX_SHARE, max_epochs=1).where("copies > 0")
     return docs.join(taken.select(F.col("id").alias("taken_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("taken_id")), "left_semi")
 
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each row; a null or empty text has no ids."""
     spec = bpe.tokenizer_spec(bpe.default_tokenizer())
     return bpe.encode(docs, spec, carry=("lang", "source")).drop("decoded")
 
@@ -66,12 +71,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is written as Parquet and read again."""
+    """All stages over ``documents``; each result but the last is written as Parquet and read again.
+
+    A written result is deleted once the next one stands; the last one written feeds what is returned.
+    """
     docs = table(spark, sf_dir, "documents")
     place = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    written = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{place}/{k}-{name}")
-            docs = spark.read.parquet(f"{place}/{k}-{name}")
+            before, written = written, f"{place}/{k}-{name}"
+            docs.write.parquet(written)
+            docs = spark.read.parquet(written)
+            if before:
+                path = spark._jvm.org.apache.hadoop.fs.Path(before)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return docs
