@@ -94,25 +94,27 @@ def least_overlap(n: int | np.ndarray, percent: int) -> int | np.ndarray:
 
 # --- 1. shingle sets, packed and dealt by hash range ---------------------------------------------------
 
-#: Kinds of packed rows: a block's documents; shingles one set of the block holds; shingles several of its
-#: sets hold, once with their count; and, kept beside the block, who holds the latter.
+#: Kinds of packed rows: a block's documents; shingles with the set that holds them; shingles that MANY sets of
+#: the block or more hold, once with their count; and, kept beside the block, who holds the latter.
 ABOUT, SINGLE, SEVERAL, HOLDERS = range(4)
+#: From here on a count and a list of holders are fewer bytes than an entry for each holder.
+MANY = 4
 
 
 def _pack(docs: DataFrame, k: int, shards: int) -> DataFrame:
-    """Rows ``shard, block, kind, hashes, owner, sizes``.
+    """Rows ``shard, top, block, kind, hashes, owner, sizes``; ``top`` is the first byte of a row's hashes, which hold the rest.
 
     Equal sets of a block are dealt out once, and so is a shingle that several sets of the block hold: what
     a hot text or shingle sends to its shard grows with the blocks and not with the documents.
     """
 
     def flush(ids: list, sets: list[np.ndarray], block: int) -> Iterator[dict]:
-        def row(kind: int, shard: int, hashes: bytes, owner: np.ndarray, sizes: np.ndarray) -> dict:
-            return {"shard": shard, "block": block, "kind": kind, "hashes": hashes, "owner": owner.tobytes(), "sizes": sizes.astype("<u4").tobytes()}
+        def row(kind: int, shard: int, hashes: bytes, owner: np.ndarray, sizes: bytes, top: int = 0) -> dict:
+            return {"shard": shard, "top": top, "block": block, "kind": kind, "hashes": hashes, "owner": owner.tobytes(), "sizes": sizes}
 
         here = -1 - block % shards
         digests = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
-        yield row(ABOUT, here, b"".join(digests), np.array(ids, "<i8"), np.array([len(s) for s in sets]))
+        yield row(ABOUT, here, b"".join(digests), np.array(ids, "<i8"), np.array([len(s) for s in sets], "<u4").tobytes())
         first: dict[bytes, int] = {}
         for i, d in enumerate(digests):
             first.setdefault(d, i)
@@ -123,19 +125,20 @@ def _pack(docs: DataFrame, k: int, shards: int) -> DataFrame:
         flat, owner = flat[by], owner[by]
         new = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
         count = np.diff(np.append(new, len(flat)))
-        lone = np.repeat(count == 1, count)
+        lone = np.repeat(count < MANY, count)
         few, few_owner = flat[lone], owner[lone]
-        many, many_count = flat[new[count > 1]], count[count > 1]
+        many, many_count = flat[new[count >= MANY]], count[count >= MANY].astype("<u2")
         if len(many):
-            yield row(HOLDERS, here, many.astype("<u8").tobytes(), owner[~lone], many_count)
+            yield row(HOLDERS, here, many.astype("<u8").tobytes(), owner[~lone], many_count.tobytes())
         # Hashes ascend, so a shard's are a slice: the shard is the hash's place in as many equal ranges.
-        for kind, part, of, sizes in ((SINGLE, few, few_owner, None), (SEVERAL, many, None, many_count)):
-            shard = ((part >> np.uint64(40)) * np.uint64(shards)) >> np.uint64(24)
-            edge = np.searchsorted(shard, np.arange(shards + 1))
-            for j in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
-                at = slice(edge[j], edge[j + 1])
-                none = np.zeros(0, "<u2")
-                yield row(kind, j, part[at].astype("<u8").tobytes(), none if of is None else of[at], none if sizes is None else sizes[at])
+        for kind, part, side in ((SINGLE, few, few_owner), (SEVERAL, many, many_count)):
+            shard, top = ((part >> np.uint64(40)) * np.uint64(shards)) >> np.uint64(24), part >> np.uint64(56)
+            low = part.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
+            cut = np.flatnonzero((shard[1:] != shard[:-1]) | (top[1:] != top[:-1])) + 1
+            for at, end in zip([0, *cut.tolist()], [*cut.tolist(), len(part)], strict=True):
+                if at < end:
+                    mine = side[at:end]
+                    yield row(kind, int(shard[at]), low[at:end].tobytes(), mine if kind == SINGLE else mine[:0], mine.tobytes() if kind == SEVERAL else b"", int(top[at]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(k)
@@ -154,10 +157,10 @@ def _pack(docs: DataFrame, k: int, shards: int) -> DataFrame:
         del shingler, ids, sets
         give_back()
 
-    return small_batches(docs).mapInPandas(run, "shard int, block bigint, kind int, hashes binary, owner binary, sizes binary")
+    return small_batches(docs).mapInPandas(run, "shard int, top int, block bigint, kind int, hashes binary, owner binary, sizes binary")
 
 
-def _joined(cells: pd.Series, kind: str) -> np.ndarray:
+def _joined(cells: pd.Series, kind: str | type) -> np.ndarray:
     return np.frombuffer(b"".join(cells), kind)
 
 
@@ -168,16 +171,21 @@ def _repeated(packed: DataFrame) -> DataFrame:
         names = ["block", "kind", "hashes", "owner", "held"]
         if key[0] < 0:  # what blocks tell of their documents passes through
             return rows.rename(columns={"sizes": "held"})[names]
-        h = _joined(rows["hashes"], "<u8")
-        weight = np.concatenate([np.frombuffer(s, "<u4") if kind == SEVERAL else np.ones(len(x) // 8, np.uint32) for kind, x, s in zip(rows["kind"], rows["hashes"], rows["sizes"], strict=True)])
+        counts = rows["hashes"].map(len).to_numpy() // 7
+        low = np.zeros((counts.sum(), 8), np.uint8)
+        low[:, :7] = _joined(rows["hashes"], np.uint8).reshape(-1, 7)
+        low[:, 7] = np.repeat(rows["top"].to_numpy(), counts)
+        h = low.view("<u8").ravel()
+        weight = np.concatenate([np.frombuffer(s, "<u2") if kind == SEVERAL else np.ones(n, np.uint16) for kind, n, s in zip(rows["kind"], counts, rows["sizes"], strict=True)])
         by = np.argsort(h)
         new = np.concatenate([[True], h[by][1:] != h[by][:-1]])
         run_of = np.cumsum(new) - 1
         held = np.empty(len(h), np.int64)
         held[by] = np.add.reduceat(weight[by].astype(np.int64), np.flatnonzero(new))[run_of]
         out, at = [], 0
-        for block, kind, x, o in zip(rows["block"], rows["kind"], rows["hashes"], rows["owner"], strict=True):
-            here = slice(at, at := at + len(x) // 8)
+        for block, kind, n, o in zip(rows["block"], rows["kind"], counts.tolist(), rows["owner"], strict=True):
+            here = slice(at, at + n)
+            at += n
             keep = held[here] >= 2
             if keep.any():
                 owner = np.frombuffer(o, "<u2")[keep] if kind == SINGLE else np.zeros(0, "<u2")
@@ -204,7 +212,7 @@ def _sets(repeated: DataFrame, percent: int) -> DataFrame:
         if len(holders):
             known, known_held = _joined(several["hashes"], "<u8"), _joined(several["held"], "<u2")
             by = np.argsort(known)
-            mine, count = _joined(holders["hashes"], "<u8"), _joined(holders["held"], "<u4")
+            mine, count = _joined(holders["hashes"], "<u8"), _joined(holders["held"], "<u2")
             at = by[np.searchsorted(known, mine, sorter=by)]
             h, owner = np.concatenate([h, np.repeat(mine, count)]), np.concatenate([owner, _joined(holders["owner"], "<u2")])
             held = np.concatenate([held, np.repeat(known_held[at], count)])
