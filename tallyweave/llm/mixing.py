@@ -91,9 +91,14 @@ def mix(docs: DataFrame, share: float = 0.6, max_epochs: int = 3, weights: Weigh
     placed = _with_budget(rows, plan).withColumn("epochs", whole)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
     placed = placed.withColumn("place", key).withColumn("slice", F.substring("place", 1, 3)).repartition(pieces(rows, 4 << 20), *LEVELS, "slice")
-    slices = placed.groupBy(*LEVELS, "slice").agg(F.sum("n_tokens").alias("in_slice"))
-    before = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
-    slices = slices.select(*LEVELS, "slice", (F.sum("in_slice").over(before) - F.col("in_slice")).alias("before"))
+    # A slice's place among its sixteen, and theirs among the leaf's 256: no task sums more than 256 rows of a leaf.
+    sums = placed.groupBy(*LEVELS, "slice").agg(F.sum("n_tokens").alias("in_slice")).withColumn("coarse", F.substring("slice", 1, 2))
+    fine = Window.partitionBy(*LEVELS, "coarse").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("fine", F.sum("in_slice").over(fine) - F.col("in_slice"))
+    coarse = sums.groupBy(*LEVELS, "coarse").agg(F.sum("in_slice").alias("in_coarse"))
+    leaf = Window.partitionBy(*LEVELS).orderBy("coarse").rowsBetween(Window.unboundedPreceding, 0)
+    coarse = coarse.select(*LEVELS, "coarse", (F.sum("in_coarse").over(leaf) - F.col("in_coarse")).alias("ahead"))
+    slices = sums.join(coarse, [*LEVELS, "coarse"]).select(*LEVELS, "slice", (F.col("ahead") + F.col("fine")).alias("before"))
     within = Window.partitionBy(*LEVELS, "slice").orderBy("place", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("within", F.sum("n_tokens").over(within)).join(slices, [*LEVELS, "slice"])
     fits = (F.col("epochs") < max_epochs) & (F.col("before") + F.col("within") <= F.col("budget") - F.col("epochs") * F.col("tokens"))
