@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyweave.functions import grammar as g
-from tallyweave.operators.ordered import consecutive_runs
+from tallyweave.operators.ordered import consecutive_runs, monotone_repair
 
 # Fixed patterns of the document class.
 TOC_NUMBER = r"^NOT\s*([0-9lIİiOoSB.,]{1,4})\s+"
 TOC_PAGE = r"[ .]([0-9lIO]{1,3})(?:-[0-9lIO]{1,3})?\s*$"
+TOC_LINE = r"^NOT\s*([0-9lIİiOoSB.,]{1,4})\s+(.{3,80})$"
+TOC_END = r"(?:\s|\.)([0-9lIO]{1,3})(?:-[0-9lIO]{1,3})?\s*$"
+TITLE_REST = r"[^A-ZÇĞİÖŞÜa-zçğıöşü)\s].*$"
 ALONE = r"^\s*([0-9lIİiOo]{1,3})\s*[.\-]?\s*$"
 WITH_TEXT = r"^\s*([0-9lIİiOo]{1,3})\s*[.\-]\s+\S"
 
@@ -20,6 +24,26 @@ def toc_fields(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("text").rlike(TOC_NUMBER)).withColumns({"number": F.regexp_extract("text", TOC_NUMBER, 1), "page": F.regexp_extract("text", TOC_PAGE, 1)})
 
 
+def contents(lines: DataFrame) -> DataFrame:
+    """A table of contents, (doc_id, line_no, text) to ``doc_id, place, number, title, page``.
+
+    Where three fifths of the numbers that can be read are their line's place, places are the numbers; else
+    lines without one go.  Pages that fall back behind an earlier one are dropped.
+    """
+    text = F.replace(F.replace(g.strip(F.col("text")), F.lit("NOTI"), F.lit("NOT 1")), F.lit("NOT1"), F.lit("NOT 1"))
+    hits = lines.withColumn("text", text).where(F.col("text").rlike(TOC_LINE))
+    rest = F.regexp_extract("text", TOC_LINE, 2)
+    digits = F.translate(F.regexp_extract(rest, TOC_END, 1), g.LOOKALIKES, g.LOOKALIKE_DIGITS)
+    heading = F.btrim(F.regexp_replace(F.regexp_replace(rest, TOC_END, ""), TITLE_REST, ""), F.lit(" ."))
+    doc = Window.partitionBy("doc_id")
+    place = F.row_number().over(doc.orderBy("line_no"))
+    made = hits.select("doc_id", place.alias("place"), g.note_number(F.regexp_extract("text", TOC_LINE, 1)).alias("read"), heading.alias("title"), F.when(digits.rlike("^[0-9]+$"), digits.cast("int")).alias("page"))
+    known, agree = F.count("read").over(doc), F.count_if(F.col("read") == F.col("place")).over(doc)
+    made = made.withColumn("counted", (known > 0) & (agree >= 0.6 * known))
+    made = made.where("counted OR read IS NOT NULL").withColumn("number", F.when(F.col("counted"), F.col("place")).otherwise(F.col("read")))
+    return monotone_repair(made, ["doc_id"], ["place"], "page").select("doc_id", "place", "number", "title", F.col("repaired").alias("page"))
+
+
 def first_page_with(pages: DataFrame, key: str, word: str, upto: int) -> DataFrame:
     """The first of the leading pages whose folded text holds a word."""
     return pages.where((F.col("page") <= upto) & F.contains(g.fold(F.col("text")), F.lit(word))).groupBy(key).agg(F.min("page").alias("page"))

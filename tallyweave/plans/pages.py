@@ -64,7 +64,8 @@ def _titled(spark, sf):
 
 @query(f"WITH {_HEAD} SELECT c_custkey AS doc_id, title FROM h")
 def x2_titles(spark, sf):
-    return pg.by_page(_titled(spark, sf), lambda key, lines: [(key[0], pg.title_of(lines, 600.0))], "doc_id bigint, title string", ["doc_id"])
+    tops = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("page"), F.lit(600.0).alias("y0"))
+    return pg.titles(pg.page_lines(_titled(spark, sf), WIDTH), tops).select("doc_id", "title")
 
 
 @query(f"WITH {STATEMENT}, t AS (SELECT DISTINCT doc_id, line, y0 FROM statement), n AS (SELECT *, CASE WHEN abs(y0 - line % 2 * 50 - lag(y0 - line % 2 * 50) OVER w) < 15 THEN 0 ELSE 1 END AS new FROM (SELECT doc_id, line, y0 FROM t) WINDOW w AS (PARTITION BY doc_id ORDER BY line)) SELECT doc_id, sum(new) AS lines FROM n GROUP BY doc_id")
@@ -72,22 +73,20 @@ def a2_baseline_merge(spark, sf):
     # odd lines move up to nearly meet the line above
     moved = F.col("line") % 2 * 50
     words = _pages(spark, sf).withColumns({"y0": F.col("y0") - moved, "y1": F.col("y1") - moved})
-    return pg.by_page(words, lambda key, lines: [(key[0], len(pg.same_baseline(lines)))], "doc_id bigint, lines bigint", ["doc_id"])
+    return pg.merged_lines(pg.page_lines(words, WIDTH)).select("doc_id", F.size("merged").cast("bigint").alias("lines"))
 
 
 @query("WITH r AS (SELECT o_custkey, o_orderkey, o_orderstatus = 'F' AS bare, CASE WHEN o_orderkey % 2 = 0 THEN 20 ELSE 0 END AS x FROM orders), n AS (SELECT *, max(CASE WHEN NOT bare THEN o_orderkey END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later FROM r) SELECT o_custkey, count(*) FILTER (WHERE NOT bare) AS rows, count(*) FILTER (WHERE bare AND later IS NULL) AS dropped FROM n GROUP BY o_custkey")
 def w8_wrapped_labels(spark, sf):
-    rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").alias("bare"), F.when(F.col("o_orderkey") % 2 == 0, 20.0).otherwise(0.0).alias("x"))
-
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("o_orderkey")
-        made = [pg.Row(str(k), x, float(i), i + 0.5, cells={} if bare else {0: None}) for i, (k, bare, x) in enumerate(zip(part["o_orderkey"], part["bare"], part["x"], strict=True))]
-        merged = pg.join_wrapped(made, 10)
-        data = [r for r in merged if r.cells]
-        used = sum(len(r.label.split()) for r in merged)
-        return pd.DataFrame([(key[0], len(data), len(part) - used)], columns=["o_custkey", "rows", "dropped"])
-
-    return rows.groupBy("o_custkey").applyInPandas(run, "o_custkey bigint, rows bigint, dropped bigint")
+    """Rows without cells wait for the next one with a cell; what waits at the end is left out."""
+    key, bare = F.col("o_orderkey"), F.col("o_orderstatus") == "F"
+    some = F.array(F.lit(None).cast(pg.CELL))
+    x0 = F.when(key % 2 == 0, 20.0).otherwise(0.0)
+    row = F.struct(key.cast("string").alias("label"), x0.alias("x0"), key.cast("double").alias("y0"), key.cast("double").alias("y1"), F.lit(False).alias("section"), F.array().cast("array<int>").alias("refs"), F.when(bare, F.slice(some, 1, 0)).otherwise(some).alias("cells")).cast(pg.ROW)
+    rows = table(spark, sf, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(key, row.alias("row")))), lambda x: x["row"]).alias("rows"))
+    merged = rows.withColumn("merged", pg.wrapped(F.col("rows"), 10.0))
+    used = F.aggregate("merged", F.lit(0), lambda n, r: n + F.size(F.split(r["label"], " ")))
+    return merged.select("o_custkey", F.size(F.filter("merged", lambda r: F.size(r["cells"]) > 0)).cast("bigint").alias("rows"), (F.size("rows") - used).cast("bigint").alias("dropped"))
 
 
 @query(None)
@@ -156,11 +155,7 @@ def f9_toc_fields(spark, sf):
 
 @query(f"WITH {_TOC}, p AS (SELECT doc_id, line_no AS note_no, regexp_extract(text, '([0-9]+)$', 1)::INT AS page FROM toc) SELECT doc_id, note_no::INT AS note_no, CASE WHEN page >= coalesce(max(page) OVER (PARTITION BY doc_id ORDER BY note_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), page) THEN page END AS page FROM p")
 def x6_parse_toc(spark, sf):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        made = pg.contents(rows.sort_values("line_no")["text"])
-        return pd.DataFrame([(key[0], e.number, e.page) for e in made], columns=["doc_id", "note_no", "page"]).astype({"note_no": "Int32", "page": "Int32"})
-
-    return _toc(spark, sf).groupBy("doc_id").applyInPandas(run, "doc_id int, note_no int, page int")
+    return lc.contents(_toc(spark, sf)).select("doc_id", F.col("number").alias("note_no"), "page")
 
 
 _MARKED = "m AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS page, (o_orderkey % 5 + 9)::INT AS note FROM orders)"
