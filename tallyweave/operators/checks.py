@@ -3,16 +3,12 @@
 A ledger row is (table_id, row_ord, row_id, label, role, indent, period, p_ord, value, state, repaired,
 parent_row_id).  Dash, empty and zero differ: a dash adds nothing, a number without a value makes a sum
 not evaluable, and a missing operand is never zero.  Every check returns (check_id, grp, scope, status,
-detail); status is pass, fail or not_evaluable.  All but the two searches over member runs are
-aggregations; those two run on one small table at a time.
+detail); status is pass, fail or not_evaluable.  All are aggregations; the two searches over runs of
+members fold one small table's rows, held as an array.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from decimal import Decimal
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,131 +169,129 @@ def is_milestone(label: Column, indent: Column) -> Column:
     return F.coalesce((indent == 0) & (g.upper_share(label) >= MILESTONE_SHARE), F.lit(False))
 
 
-class _Row:
-    """One ledger row with its amounts by period."""
+# --- searches over one table's rows ---------------------------------------------------------------------
+
+AMOUNT = "decimal(38,6)"
+
+
+def _sums(values: Column) -> Column:
+    """``array<struct<sum, gaps>>`` of the leading 0, 1, 2, ... values; a gap adds nothing and is counted."""
+    zero = F.struct(F.lit(0).cast(AMOUNT).alias("sum"), F.lit(0).alias("gaps"))
+
+    def add(acc: Column, v: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        return F.concat(acc, F.array(F.struct((last["sum"] + F.coalesce(v, F.lit(0))).cast(AMOUNT).alias("sum"), (last["gaps"] + v.isNull().cast("int")).alias("gaps"))))
+
+    return F.aggregate(values, F.array(zero), add)
+
 
-    def __init__(self, rows: pd.DataFrame) -> None:
-        first = rows.iloc[0]
-        self.id, self.label, self.role, self.indent = first["row_id"], first["label"] or "", first["role"], first["indent"]
-        self.milestone = bool(first["milestone"])
-        self.parent: str | None = first["parent_row_id"] if isinstance(first["parent_row_id"], str) else None
-        self.value = {p: None if v is None or v != v else Decimal(v) for p, v in zip(rows["period"], rows["value"], strict=True)}
-        self.state = dict(zip(rows["period"], rows["state"], strict=True))
+def _run_end(sums: Column, start: Column, target: Column) -> Column:
+    """Where the shortest run of values from ``start`` that adds to ``target`` ends (exclusive); null for none.  A gap ends the search."""
+    before = F.get(sums, start)
+    ends = F.transform(sums, lambda s, j: F.when((j > start) & (s["gaps"] == before["gaps"]) & (s["sum"] - before["sum"] == target), j))
+    return F.array_min(ends)
 
-    def unread(self, period: str) -> bool:
-        return self.value.get(period) is None and self.state.get(period) == "number"
 
-    @property
-    def total(self) -> bool:
-        return self.role == "total" or self.label.upper().startswith(TOTAL_PREFIX)
+def _walk(values: Column, step) -> Column:
+    """Positions that stay when, from the left, ``step(position, value, sums)`` tells where to go on and whether to keep."""
 
+    def walk(sums: Column) -> Column:
+        start = F.struct(F.lit(0).alias("next"), F.expr("cast(array() as array<int>)").alias("kept"))
 
-def _rows(table: pd.DataFrame) -> tuple[list[_Row], list[str]]:
-    table = table.sort_values(["row_ord", "p_ord"])
-    periods = table[["p_ord", "period"]].drop_duplicates().sort_values("p_ord")["period"].drop_duplicates().tolist()
-    return [_Row(rows) for _, rows in table.groupby("row_ord", sort=True)], periods
+        def one(acc: Column, at: Column) -> Column:
+            def go(told: Column) -> Column:
+                return F.struct(told["next"].alias("next"), F.when(told["keep"], F.concat(acc["kept"], F.array(at))).otherwise(acc["kept"]).alias("kept"))
 
+            return F.when(at < acc["next"], acc).otherwise(g.let(step(at, F.get(values, at), sums), go))
 
-def first_prefix(values: Iterable[Decimal | None], target: Decimal) -> int:
-    """How many leading values add to ``target``: the shortest such run, 0 for none; a gap ends the search."""
-    run = Decimal(0)
-    for n, v in enumerate(values, start=1):
-        if v is None:
-            return 0
-        run += v
-        if run == target:
-            return n
-    return 0
+        return F.aggregate(F.transform(values, lambda _, i: i), start, one, lambda acc: acc["kept"])
 
+    return g.let(_sums(values), walk)
 
-def without_parts(values: list[Decimal | None]) -> list[int]:
+
+def without_parts(values: Column) -> Column:
     """Positions left when the run of followers that adds up to a value is dropped after it."""
-    out, at = [], 0
-    while at < len(values):
-        out.append(at)
-        at += 1 + (first_prefix(values[at + 1 :], values[at]) if values[at] is not None else 0)
-    return out
-
-
-def without_restated(values: list[Decimal], base: Decimal) -> list[Decimal]:
-    """A cascade segment without repeats of ``base``: the value itself, or a run of two or more that adds to it."""
-    out, at = [], 0
-    while at < len(values):
-        if values[at] == base:
-            at += 1
-            continue
-        n = first_prefix(values[at:], base)
-        if n > 1:
-            at += n
-            continue
-        out.append(values[at])
-        at += 1
-    return out
-
-
-def _search(ledger: DataFrame, check_id: str, judge) -> DataFrame:
-    """Runs ``judge(rows, periods) -> (row_id, period, status, detail)`` on each table."""
-    cols = ["table_id", "row_ord", "row_id", "label", "role", "indent", "period", "p_ord", "value", "state", "parent_row_id"]
-    rows = ledger.select(*cols, is_milestone(F.col("label"), F.col("indent")).alias("milestone")).withColumns({"value": F.col("value").cast("string"), "table_id": F.col("table_id").cast("string"), "row_id": F.col("row_id").cast("string"), "parent_row_id": F.col("parent_row_id").cast("string")})
-
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        rows, periods = _rows(table)
-        name = table["table_id"].iloc[0]
-        return pd.DataFrame([(check_id, "financial", f"{name}.{r}.{p}", status, detail) for r, p, status, detail in judge(rows, periods)], columns=list(RESULT))
-
-    return rows.groupBy("table_id").applyInPandas(run, ", ".join(f"{c} string" for c in RESULT))
+
+    def step(at: Column, value: Column, sums: Column) -> Column:
+        return F.struct(F.coalesce(_run_end(sums, at + 1, value), at + 1).alias("next"), F.lit(True).alias("keep"))
+
+    return _walk(values, step)
+
+
+def without_restated(values: Column, base: Column) -> Column:
+    """Positions of a cascade segment without repeats of ``base``: the value itself, or a run of two or more that adds to it."""
+
+    def step(at: Column, value: Column, sums: Column) -> Column:
+        end = _run_end(sums, at, base)
+        return F.struct(F.coalesce(end, at + 1).alias("next"), end.isNull().alias("keep"))
+
+    return _walk(values, step)
+
+
+def picked(values: Column, positions: Column) -> Column:
+    return F.transform(positions, lambda i: F.get(values, i))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast(AMOUNT), lambda a, v: (a + F.coalesce(v, F.lit(0))).cast(AMOUNT))
+
+
+def _unread(rows: Column) -> Column:
+    return F.exists(rows, lambda r: r["value"].isNull() & (r["state"] == "number"))
+
+
+def _whole(v: Column) -> Column:
+    return v.isNull() | (v == F.floor(v))
+
+
+def _by_period(ledger: DataFrame) -> DataFrame:
+    """``table_id, period, rows, parents, stones``: a table's rows of a period from the top, in one shuffle by table."""
+    is_total = (F.col("role") == "total") | F.upper(F.coalesce("label", F.lit(""))).startswith(TOTAL_PREFIX)
+    row = F.struct("row_ord", "row_id", "period", "p_ord", F.col("value").cast(AMOUNT).alias("value"), "state", "indent", F.col("parent_row_id").alias("parent"), F.coalesce(is_total, F.lit(False)).alias("total"), is_milestone(F.col("label"), F.col("indent")).alias("milestone"))
+    tables = ledger.groupBy("table_id").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    parents = F.array_distinct(F.array_compact(F.transform("all", lambda r: r["parent"])))
+    stones = F.array_distinct(F.transform(F.filter("all", lambda r: r["milestone"] & r["value"].isNotNull()), lambda r: r["row_ord"]))
+    one = tables.select("table_id", "all", parents.alias("parents"), stones.alias("stones"), F.explode(F.array_distinct(F.transform("all", lambda r: r["period"]))).alias("period"))
+    return one.select("table_id", "period", F.filter("all", lambda r: r["period"] == F.col("period")).alias("rows"), "parents", "stones")
 
 
 def grand_totals(ledger: DataFrame) -> DataFrame:
     """A total against three member sets of the rows before it at its indent: all, those with children, and
     all without the parts of members that are sums themselves.  Any agreement passes."""
+    t = _by_period(ledger).select("table_id", "period", "rows", "parents", F.posexplode("rows").alias("at", "r")).where("r.total AND r.value IS NOT NULL")
+    peers = F.filter(F.slice("rows", 1, F.col("at")), lambda x: (x["indent"] == F.col("r.indent")) & ~x["total"])
+
+    def judge(peers: Column) -> Column:
+        nested = F.filter(peers, lambda x: F.array_contains("parents", x["row_id"]))
+        heads = picked(peers, without_parts(F.transform(peers, lambda x: x["value"])))
+        sets = F.array_distinct(F.filter(F.array(peers, nested, heads), lambda s: F.size(s) > 0))
+        verdict = lambda s: F.when(_unread(s), "missing").when(~F.forall(s, lambda x: _whole(x["value"])), "mixed").when(_total(F.transform(s, lambda x: x["value"])) == F.col("r.value"), "agree").otherwise("differ")
+        return F.transform(sets, verdict)
 
-    def judge(rows: list[_Row], periods: list[str]):
-        parents = {r.parent for r in rows if r.parent}
-        for at, r in enumerate(rows):
-            peers = [x for x in rows[:at] if x.indent == r.indent and not x.total]
-            if not r.total or not peers:
-                continue
-            for p in periods:
-                if r.value.get(p) is None:
-                    continue
-                sets = [peers, [x for x in peers if x.id in parents], [peers[i] for i in without_parts([x.value.get(p) for x in peers])]]
-                distinct = {tuple(x.id for x in s): s for s in sets if s}.values()
-                verdicts, missing, mixed = [], 0, 0
-                for members in distinct:
-                    values = [x.value.get(p) for x in members]
-                    if any(x.unread(p) for x in members):
-                        missing += 1
-                    elif any(v is not None and v != v.to_integral_value() for v in values):
-                        mixed += 1
-                    else:
-                        verdicts.append(sum((v for v in values if v is not None), Decimal(0)) == r.value[p])
-                status = "pass" if any(verdicts) else "fail" if verdicts else "not_evaluable"
-                yield r.id, p, status, f"{sum(verdicts)}/{len(verdicts)} sets agree, {missing} missing, {mixed} mixed"
-
-    return _search(ledger, "FIN_GRAND_TOTAL", judge)
+    t = t.withColumn("peers", peers).select("table_id", "period", "r.row_id", g.let(F.col("peers"), judge).alias("told")).where(F.size("told") > 0)
+    count = lambda word: F.size(F.filter("told", lambda x: x == word))
+    status = F.when(count("agree") > 0, "pass").when(count("differ") > 0, "fail").otherwise("not_evaluable")
+    detail = F.format_string("%d/%d sets agree, %d missing, %d mixed", count("agree"), count("agree") + count("differ"), count("missing"), count("mixed"))
+    return results(t, "FIN_GRAND_TOTAL", "financial", dotted("table_id", "row_id", "period"), status, detail)
 
 
 def flow_cascades(ledger: DataFrame) -> DataFrame:
     """Each milestone is the milestone before it plus the rows between, restatements aside."""
-
-    def judge(rows: list[_Row], periods: list[str]):
-        stones = [i for i, r in enumerate(rows) if r.milestone and any(v is not None for v in r.value.values())]
-        if len(stones) < 2:
-            return
-        for p in periods:
-            for before, at in zip([None, *stones], stones, strict=False):
-                target = rows[at].value.get(p)
-                base = Decimal(0) if before is None else rows[before].value.get(p)
-                if target is None or base is None:
-                    continue
-                between = [r for r in rows[0 if before is None else before + 1 : at] if r.parent is None]
-                if any(r.unread(p) for r in between):
-                    yield rows[at].id, p, "not_evaluable", ""
-                    continue
-                amounts = [v for r in between if (v := r.value.get(p)) is not None and v == v.to_integral_value()]
-                kept = without_restated(amounts, base)
-                segment = sum((kept[i] for i in without_parts(kept)), Decimal(0))
-                yield rows[at].id, p, "pass" if base + segment == target else "fail", f"{base} + {segment} = {target}"
-
-    return _search(ledger, "FIN_FLOW_CASCADE", judge)
+    t = _by_period(ledger).where(F.size("stones") >= 2)
+    stone = lambda r: F.array_contains("stones", r["row_ord"])
+    places = F.array_compact(F.transform("rows", lambda r, i: F.when(stone(r), i)))
+    t = t.withColumn("places", places).select("table_id", "period", "rows", "places", F.posexplode("places").alias("nth", "at"))
+    before = F.when(F.col("nth") > 0, F.get("places", F.col("nth") - 1))
+    base = F.when(before.isNull(), F.lit(0).cast(AMOUNT)).otherwise(F.get("rows", before)["value"])
+    start = F.coalesce(before + 1, F.lit(0))
+    t = t.select("table_id", "period", F.get("rows", F.col("at")).alias("goal"), base.alias("base"), F.filter(F.slice("rows", start + 1, F.col("at") - start), lambda r: r["parent"].isNull()).alias("between")).where("goal.value IS NOT NULL AND base IS NOT NULL")
+
+    def segment(amounts: Column) -> Column:
+        return g.let(picked(amounts, without_restated(amounts, F.col("base"))), lambda kept: _total(picked(kept, without_parts(kept))))
+
+    amounts = F.filter(F.transform("between", lambda r: r["value"]), lambda v: v.isNotNull() & _whole(v))
+    t = t.select("table_id", "period", "goal", "base", _unread(F.col("between")).alias("unread"), g.let(amounts, segment).alias("segment"))
+    goal = F.col("goal.value")
+    status = F.when(F.col("unread"), "not_evaluable").otherwise(passes(F.col("base") + F.col("segment") == goal))
+    detail = F.when(F.col("unread"), "").otherwise(F.format_string("%s + %s = %s", F.col("base").cast("string"), F.col("segment").cast("string"), goal.cast("string")))
+    return results(t.withColumn("row_id", F.col("goal.row_id")), "FIN_FLOW_CASCADE", "financial", dotted("table_id", "row_id", "period"), status, detail)

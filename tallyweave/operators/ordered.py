@@ -83,15 +83,22 @@ def nearest(points: DataFrame, targets: DataFrame, keys: Keys, at: str, center:
 def last_smaller(df: DataFrame, keys: Keys, order: str, level: str, row_id: str, name: str = "parent") -> DataFrame:
     """As-of: the last earlier row with a smaller level.
 
-    Levels are few, so each level's last row so far is one running value: no self join.
+    Rows from the top hold a stack of open levels, each with its last row: a fold over a table's rows that drops
+    what is not smaller.  One shuffle by key, no self join, any number of levels.
     """
-    levels = [r[0] for r in df.select(level).distinct().orderBy(level).limit(65).collect()]
-    if len(levels) > 64:
-        raise ValueError("more levels than a table's indents can have")
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(*BEFORE)
-    seen = [F.when(F.col(level) > v, F.last(F.when(F.col(level) == v, F.struct(F.col(order).alias("o"), F.col(row_id).alias("r"))), ignorenulls=True).over(w)) for v in levels]
-    best = seen[0] if len(seen) == 1 else F.greatest(*seen) if seen else F.lit(None).cast("struct<o:int,r:string>")
-    return df.withColumn("__best", best).withColumn(name, F.col("__best.r")).drop("__best")
+    kind = dict(df.dtypes)
+    mine = F.struct(F.col(order).alias("o"), F.col(level).alias("l"), F.col(row_id).alias("r"), F.struct(*df.columns).alias("row"))
+    tables = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.sort_array(F.collect_list(mine)).alias("all"))
+    entry = f"struct<l:{kind[level]},r:{kind[row_id]}>"
+    start = F.struct(F.array().cast(f"array<{entry}>").alias("open"), F.array().cast(f"array<{kind[row_id]}>").alias("told"))
+
+    def add(acc: Column, x: Column) -> Column:
+        smaller = F.filter(acc["open"], lambda e: e["l"] < x["l"])
+        here = F.struct(x["l"].alias("l"), x["r"].alias("r")).cast(entry)
+        return F.struct(F.concat(smaller, F.array(here)).alias("open"), F.concat(acc["told"], F.array(F.get(smaller, F.size(smaller) - 1)["r"])).alias("told"))
+
+    told = tables.withColumn("told", F.aggregate("all", start, add, lambda acc: acc["told"]))
+    return told.select(F.posexplode("all").alias("at", "x"), "told").select("x.row.*", F.get("told", F.col("at")).alias(name))
 
 
 def position_quartile(df: DataFrame, keys: Keys, order: Keys, parts: int = 4, name: str = "part") -> DataFrame:

@@ -96,15 +96,15 @@ def j12_children(spark, sf):
 
 @query(None)
 def fin_grand_total(spark, sf):
-    led = ledger(spark, sf).where("period = 'y2012'")
-    totals = led.groupBy("table_id").agg((F.sum(F.when((F.col("indent") == 0) & (F.col("role") != "closing"), F.col("value"))) + F.when(F.col("table_id") % 4 == 0, 1).otherwise(0)).alias("value"))
-    row = totals.select("table_id", F.lit(10**9 - 1).cast("bigint").alias("row_ord"), F.lit("grand").alias("row_id"), F.lit("TOPLAM").alias("label"), F.lit("total").alias("role"), F.lit(0).alias("indent"), F.lit("number").alias("state"), F.lit(False).alias("repaired"), F.lit(None).cast("string").alias("parent_row_id"), F.lit("y2012").alias("period"), F.lit(0).alias("p_ord"), "value")
+    led = ledger(spark, sf)
+    totals = led.groupBy("table_id", "period", "p_ord").agg((F.sum(F.when((F.col("indent") == 0) & (F.col("role") != "closing"), F.col("value"))) + F.when(F.col("table_id") % 4 == 0, 1).otherwise(0)).alias("value"))
+    row = totals.select("table_id", F.lit(10**9 - 1).cast("bigint").alias("row_ord"), F.lit("grand").alias("row_id"), F.lit("TOPLAM").alias("label"), F.lit("total").alias("role"), F.lit(0).alias("indent"), F.lit("number").alias("state"), F.lit(False).alias("repaired"), F.lit(None).cast("string").alias("parent_row_id"), "period", "p_ord", "value")
     return ck.grand_totals(led.where("role <> 'closing'").unionByName(row)).select("scope", "status")
 
 
 @query(None)
 def fin_flow_cascade(spark, sf):
-    led = ledger(spark, sf).where("period = 'y2012'").withColumn("label", F.when(F.col("row_ord") % 5 == 0, "BRÜT KAR").otherwise(F.col("label")))
+    led = ledger(spark, sf).withColumn("label", F.when(F.col("row_ord") % 5 == 0, "BRÜT KAR").otherwise(F.col("label")))
     return ck.flow_cascades(led).select("scope", "status")
 
 

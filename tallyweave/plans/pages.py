@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,6 +9,7 @@ from tallyweave.functions import fuzzy
 from tallyweave.functions import grammar as g
 from tallyweave.functions import tokens as tk
 from tallyweave.operators import assembly as asm
+from tallyweave.operators import checks as ck
 from tallyweave.operators import locate as lc
 from tallyweave.operators import matching as mt
 from tallyweave.operators import pages as pg
@@ -91,18 +91,11 @@ def w8_wrapped_labels(spark, sf):
 
 @query(None)
 def w11_segment_dedupe(spark, sf):
-    from decimal import Decimal
-
-    from tallyweave.operators import checks as ck
-
-    v = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.floor(F.col("o_totalprice") / 100000).cast("bigint").alias("v"))
-
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        values = [Decimal(int(x)) for x in part.sort_values("o_orderkey")["v"]]
-        kept = ck.without_restated(values, values[0])
-        return pd.DataFrame([(key[0], len(kept), len(ck.without_parts(kept)))], columns=["o_custkey", "kept", "heads"])
-
-    return v.groupBy("o_custkey").applyInPandas(run, "o_custkey bigint, kept bigint, heads bigint")
+    """A customer's amounts without restatements of the first, and without the parts of sums among them."""
+    v = F.floor(F.col("o_totalprice") / 100000).cast(ck.AMOUNT)
+    amounts = table(spark, sf, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", v.alias("v")))), lambda x: x["v"]).alias("v"))
+    kept = amounts.withColumn("rest", ck.picked(F.col("v"), ck.without_restated(F.col("v"), F.get("v", F.lit(0)))))
+    return kept.select("o_custkey", F.size("rest").cast("bigint").alias("kept"), F.size(ck.without_parts(F.col("rest"))).cast("bigint").alias("heads"))
 
 
 @query("WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, 'Kalem oranı' AS label, l_suppkey % 40 * 30 AS y0 FROM lineitem WHERE l_returnflag = 'R'), box AS (SELECT l_orderkey, min(l_linenumber * 60) AS lo, max(l_linenumber * 60 + 30) AS hi FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1) SELECT l.l_orderkey, l_linenumber, l_partkey FROM l JOIN box ON box.l_orderkey = l.l_orderkey AND y0 BETWEEN lo - 90 AND hi + 150 WHERE NOT EXISTS (SELECT 1 FROM lineitem d WHERE d.l_orderkey = l.l_orderkey AND d.l_returnflag <> 'R' AND l.y0 < d.l_linenumber * 60 + 30 AND l.y0 + 30 > d.l_linenumber * 60)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import grammar as g
 from tallyweave.functions import scoring as sc
+from tallyweave.sources import config
 from tallyweave.sources.tables import table
 
 #: name -> (query, twin)
@@ -285,11 +286,11 @@ def f28_scorer_fold(spark, sf):
     return labels_of(spark, sf).select("c_custkey", F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("low"))
 
 
-@query("SELECT o_orderkey, strftime(try_strptime(CASE WHEN o_orderkey % 5 = 0 THEN '2012-13-40' ELSE strftime(o_orderdate, '%Y-%m-%d') END, '%Y-%m-%d'), '%Y-%m-%d') AS period_end, upper(trim('  ' || list_extract(['try', 'eur', 'us1', 'usdx'], (o_orderkey % 4)::INT + 1) || ' ')) AS currency, (o_orderkey % 4) < 2 AS currency_ok FROM orders")
+@query("SELECT o_orderkey, strftime(try_strptime(CASE WHEN o_orderkey % 5 = 0 THEN '2012-13-40' ELSE strftime(o_orderdate, '%Y-%m-%d') END, '%Y-%m-%d'), '%Y-%m-%d') AS period_end, upper(trim('  ' || list_extract(['tl', 'eur', 'us 1', 'usd_old_x'], (o_orderkey % 4)::INT + 1) || ' ')) AS currency, (o_orderkey % 4) < 2 AS currency_ok FROM orders")
 def f30_upload_fields(spark, sf):
     date = F.when(F.col("o_orderkey") % 5 == 0, "2012-13-40").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
-    cur = F.upper(F.trim(F.concat(F.lit("  "), F.get(F.array(*map(F.lit, ("try", "eur", "us1", "usdx"))), (F.col("o_orderkey") % 4).cast("int")), F.lit(" "))))
-    return table(spark, sf, "orders").select("o_orderkey", F.date_format(F.try_to_date(date, "yyyy-MM-dd"), "yyyy-MM-dd").alias("period_end"), cur.alias("currency"), cur.rlike("^[A-Z]{3}$").alias("currency_ok"))
+    cur = F.upper(F.trim(F.concat(F.lit("  "), F.get(F.array(*map(F.lit, ("tl", "eur", "us 1", "usd_old_x"))), (F.col("o_orderkey") % 4).cast("int")), F.lit(" "))))
+    return table(spark, sf, "orders").select("o_orderkey", F.date_format(F.try_to_date(date, "yyyy-MM-dd"), "yyyy-MM-dd").alias("period_end"), cur.alias("currency"), cur.rlike(f"^{config.CURRENCY}$").alias("currency_ok"))
 
 
 @query(f"WITH {LABELS}, x AS (SELECT c_custkey, label, len(regexp_extract_all(label, '\\p{{L}}')) AS n, len(regexp_extract_all(label, '\\p{{Lu}}')) AS u FROM labels_of) SELECT c_custkey, n >= 8 AND len(string_split(label, ' ')) >= 2 AND u * 4 >= n * 3 AS title_like, n > 0 AND length(label) <= 24 AND u * 10 >= n * 9 AS section_like FROM x")

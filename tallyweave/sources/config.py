@@ -13,25 +13,24 @@ from typing import Any
 
 ENV_PREFIX, ENV_JOIN = "TALLYWEAVE_", "__"
 
-#: Every parameter a run may set.
+# Every parameter a run may set, and the parameter sets that differ from the defaults.
 DEFAULTS: dict[str, dict[str, Any]] = {
-    "document": {"source": "", "summary_pages": [5, 7], "footnote_no": 11, "company": "", "period_end": "", "currency": "TRY"},
+    "document": {"source": "", "summary_pages": [5, 7], "footnote_no": 11, "company": "", "period_end": "", "currency": "TL"},
     "ocr": {"dpi": 300, "psm": 4, "lang": "tur", "percent_rescue": True},
-    "candidates": {"rrf_k": 10.0, "anchor_weight": 3.0, "top_k": 8, "dense_model": "", "dense_revision": ""},
+    "candidates": {"rrf_k": 10.0, "anchor_weight": 3.0, "top_k": 8, "dense_model": "", "dense_model_revision": ""},
     "linking": {"cross_encoder_model": "", "cross_encoder_revision": "", "accept_threshold": 0.5, "rank1_min_score": 0.2, "lexical_threshold": 0.75, "llm": {"enabled": False, "base_url": "", "model": "", "cache_path": ""}},
     "confidence": {"low_confidence_flag": 0.5, "second_engine": True, "extra_control_pages": []},
     "output": {"dir": "", "emit_report_html": True},
 }
 
-#: Parameter sets that differ from the defaults, by name.
 SCENARIOS: dict[str, dict[str, Any]] = {
     "baseline": {},
     "strict-linker": {"linking": {"accept_threshold": 0.8}},
     "lenient-linker": {"linking": {"accept_threshold": 0.2}},
     "no-percent-rescue": {"ocr": {"percent_rescue": False}},
     "psm-6": {"ocr": {"psm": 6}},
-    "dense-swap": {"candidates": {"dense_model": "multilingual-minilm"}},
-    "reranker-swap": {"linking": {"cross_encoder_model": "turkish-reranker"}},
+    "dense-swap": {"candidates": {"dense_model": "sentence-transformers/paraphrase-multilingual-MiniLM-L12-v2", "dense_model_revision": "e8f8c211226b894fcb81acc59f3b34ba3efd5f42"}},
+    "reranker-tr-modernbert": {"linking": {"cross_encoder_model": "ytu-ce-cosmos/modernbert-tr-reranker", "cross_encoder_revision": "d6aabbe061f1bf6cb796e317ecb6d9b8f7b96c54"}},
     "lenient-lexical": {"linking": {"lexical_threshold": 0.4}},
     "footnote-10": {"document": {"footnote_no": 10}},
     "footnote-12": {"document": {"footnote_no": 12}},
@@ -88,29 +87,40 @@ def config_id(data: bytes, config: Mapping[str, Any], known: Mapping[str, str] |
     return base if (known or {}).get(base, tag) == tag else f"{base}-{tag}"
 
 
+# Fixed patterns of upload fields: letters, digits and underscores (one letter or digit at least); a language
+# code may also have a plus or a hyphen.
+CURRENCY, LANGUAGE = r"(?=.*[^\W_])\w{1,8}", r"[\w+-]{1,24}"
+
+
 class FieldError(ValueError):
     pass
 
 
 def upload_fields(raw: Mapping[str, Any]) -> dict[str, Any]:
-    """Trimmed and checked upload fields: ISO date, currency, language, page bounds, distinct pages, no overlap."""
+    """Trimmed and checked upload fields: ISO date, currency, language, page bounds, distinct pages, no overlap.
+
+    ``page_count``, where given, leaves at least one page behind the summary pages and bounds the control pages.
+    """
     text = lambda k: str(raw.get(k) or "").strip()
-    out: dict[str, Any] = {"company": text("company"), "currency": text("currency").upper() or "TRY", "lang": text("lang") or "tur"}
+    out: dict[str, Any] = {"company": text("company"), "currency": text("currency").upper() or "TL", "lang": text("lang").lower() or "tur"}
     if not out["company"]:
         raise FieldError("company is empty")
     try:
         out["period_end"] = dt.date.fromisoformat(text("period_end")).isoformat() if text("period_end") else ""
     except ValueError as e:
         raise FieldError("period_end is no ISO date") from e
-    if not re.fullmatch(r"[A-Z]{3}", out["currency"]):
-        raise FieldError("currency needs three letters")
-    if not re.fullmatch(r"[a-z]{3}(\+[a-z]{3})*", out["lang"]):
-        raise FieldError("lang is unknown")
+    if not re.fullmatch(CURRENCY, out["currency"]):
+        raise FieldError("currency must be a short code")
+    if not re.fullmatch(LANGUAGE, out["lang"]):
+        raise FieldError("lang must be a language code")
     first, last = (int(x) for x in raw.get("summary_pages") or (1, 1))
-    if not 1 <= first <= last <= 999:
-        raise FieldError("summary pages must rise from 1")
+    pages = int(raw.get("page_count") or 999)
+    if not 1 <= first <= last <= pages:
+        raise FieldError("summary pages must rise from 1 and lie within the document")
+    if last == raw.get("page_count"):
+        raise FieldError("summary pages must leave a later page")
     controls = list(dict.fromkeys(int(p) for p in raw.get("control_pages") or ()))
-    if any(not 1 <= p <= 999 for p in controls):
+    if any(not 1 <= p <= pages for p in controls):
         raise FieldError("control pages out of bounds")
     if any(first <= p <= last for p in controls):
         raise FieldError("control pages overlap the summary pages")

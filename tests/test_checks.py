@@ -2,6 +2,8 @@ from decimal import Decimal
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tallyweave.operators import checks as ck
 
 SCHEMA = "table_id string, row_ord int, row_id string, label string, role string, indent int, period string, p_ord int, value decimal(38,6), state string, repaired boolean, parent_row_id string"
@@ -72,10 +74,46 @@ def test_percent_bounds(spark):
     assert verdicts(ck.percent_bounds(cells)) == ["pass", "fail", "pass", "fail"]
 
 
-def test_searches():
-    d = [Decimal(x) for x in (30, 20, 10, 5)]
-    assert ck.without_parts(d) == [0, 3] and ck.first_prefix(d, Decimal(50)) == 2 and ck.first_prefix([None], Decimal(0)) == 0
-    assert ck.without_restated([Decimal(7), Decimal(3), Decimal(4), Decimal(1)], Decimal(7)) == [Decimal(1)]
+def first_prefix(values, target):
+    run = 0
+    for n, v in enumerate(values, start=1):
+        if v is None:
+            return 0
+        run += v
+        if run == target:
+            return n
+    return 0
+
+
+def plain_parts(values):
+    out, at = [], 0
+    while at < len(values):
+        out.append(at)
+        at += 1 + (first_prefix(values[at + 1 :], values[at]) if values[at] is not None else 0)
+    return out
+
+
+def plain_restated(values, base):
+    out, at = [], 0
+    while at < len(values):
+        n = first_prefix(values[at:], base)
+        if not n:
+            out.append(at)
+        at += n or 1
+    return out
+
+
+def test_searches_against_loops(spark):
+    import random
+
+    draw = random.Random(3)
+    rows = [([], 1), ([30, 20, 10, 5], 50), ([7, 3, 4, 1], 7), ([None], 0), ([0, 0, 0], 0)]
+    rows += [([draw.choice([None, *range(-3, 6)]) for _ in range(draw.randint(0, 14))], draw.randint(-3, 9)) for _ in range(150)]
+    df = spark.createDataFrame([([None if v is None else Decimal(v) for v in vs], Decimal(b)) for vs, b in rows], f"v array<{ck.AMOUNT}>, b {ck.AMOUNT}")
+    got = df.select("v", "b", ck.without_parts(F.col("v")).alias("parts"), ck.without_restated(F.col("v"), F.col("b")).alias("rest")).collect()
+    for r in got:
+        v = [None if x is None else int(x) for x in r.v]
+        assert r.parts == plain_parts(v) and r.rest == plain_restated(v, int(r.b)), (v, r.b)
 
 
 def test_empty_ledger(spark):

@@ -57,7 +57,8 @@ def test_config_layers():
 def test_upload_fields():
     good = config.upload_fields({"company": " A ", "currency": "eur", "period_end": "2012-12-31", "summary_pages": [5, 7], "control_pages": [9, 9, 10]})
     assert good["control_pages"] == [9, 10] and good["currency"] == "EUR"
-    for bad in ({"company": ""}, {"company": "a", "period_end": "31.12.2012"}, {"company": "a", "currency": "us1"}, {"company": "a", "summary_pages": [7, 5]}, {"company": "a", "summary_pages": [5, 7], "control_pages": [6]}, {"company": "a", "footnote_no": 100}):
+    assert config.upload_fields({"company": "a"})["currency"] == "TL" and config.upload_fields({"company": "a", "lang": "CHI_SIM"})["lang"] == "chi_sim"
+    for bad in ({"company": ""}, {"company": "a", "period_end": "31.12.2012"}, {"company": "a", "currency": "us 1"}, {"company": "a", "currency": "dollars_us"}, {"company": "a", "currency": "_"}, {"company": "a", "lang": "tur eng"}, {"company": "a", "summary_pages": [5, 7], "page_count": 7}, {"company": "a", "summary_pages": [5, 7], "page_count": 9, "control_pages": [10]}, {"company": "a", "summary_pages": [7, 5]}, {"company": "a", "summary_pages": [5, 7], "control_pages": [6]}, {"company": "a", "footnote_no": 100}):
         with pytest.raises(config.FieldError):
             config.upload_fields(bad)
 
