@@ -122,23 +122,28 @@ def _pack(docs: DataFrame, k: int, shards: int) -> DataFrame:
         flat = np.concatenate([sets[i] for i in dealt])
         owner = np.repeat(np.array(dealt, "<u2"), [len(sets[i]) for i in dealt])
         by = np.argsort(flat, kind="stable")
-        flat, owner = flat[by], owner[by]
-        new = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
-        count = np.diff(np.append(new, len(flat)))
-        lone = np.repeat(count < MANY, count)
-        few, few_owner = flat[lone], owner[lone]
-        many, many_count = flat[new[count >= MANY]], count[count >= MANY].astype("<u2")
+        asc = flat[by]
+        new = np.flatnonzero(np.concatenate([[True], asc[1:] != asc[:-1]])) if len(asc) else np.zeros(0, np.int64)
+        count = np.diff(np.append(new, len(asc)))
+        lone_asc = np.repeat(count < MANY, count)
+        many, many_count = asc[new[count >= MANY]], count[count >= MANY].astype("<u2")
         if len(many):
-            yield row(HOLDERS, here, many.astype("<u8").tobytes(), owner[~lone], many_count.tobytes())
-        # Hashes ascend, so a shard's are a slice: the shard is the hash's place in as many equal ranges.
-        for kind, part, side in ((SINGLE, few, few_owner), (SEVERAL, many, many_count)):
+            yield row(HOLDERS, here, many.astype("<u8").tobytes(), owner[by][~lone_asc], many_count.tobytes())
+        lone = np.empty(len(flat), bool)
+        lone[by] = lone_asc
+        for kind, part, side in ((SINGLE, flat[lone], owner[lone]), (SEVERAL, many, many_count)):
+            # The shard is the hash's place in as many equal ranges.  Shard and first byte rise with the hash, so
+            # their sum tells both; a row's holders stay in order, as rising numbers compress.
             shard, top = ((part >> np.uint64(40)) * np.uint64(shards)) >> np.uint64(24), part >> np.uint64(56)
+            place = (shard + top).astype(np.uint16 if shards < 65_000 else np.uint32)
+            order = np.argsort(place, kind="stable")
+            part, side, place = part[order], side[order], place[order]
             low = part.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
-            cut = np.flatnonzero((shard[1:] != shard[:-1]) | (top[1:] != top[:-1])) + 1
-            for at, end in zip([0, *cut.tolist()], [*cut.tolist(), len(part)], strict=True):
+            cut = (np.flatnonzero(place[1:] != place[:-1]) + 1).tolist()
+            for at, end in zip([0, *cut], [*cut, len(part)], strict=True):
                 if at < end:
-                    mine = side[at:end]
-                    yield row(kind, int(shard[at]), low[at:end].tobytes(), mine if kind == SINGLE else mine[:0], mine.tobytes() if kind == SEVERAL else b"", int(top[at]))
+                    mine, h = side[at:end], int(part[at])
+                    yield row(kind, (h >> 40) * shards >> 24, low[at:end].tobytes(), mine if kind == SINGLE else mine[:0], mine.tobytes() if kind == SEVERAL else b"", h >> 56)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(k)
