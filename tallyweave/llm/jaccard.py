@@ -393,10 +393,11 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     shards = pieces(rows, 4 << 20, least=4)
     sets = materialize(_sets(_repeated(_pack(rows, k, shards)), percent))
-    # Equal sets collapse; sums of small columns, so a text copied a million times is one row a task.
-    equal = sets.where("n > 0").groupBy("n", "digest").agg(F.min("id").alias("set_id"), F.min(F.when(F.col("shared").isNotNull(), F.col("id"))).alias("id"))
-    able = sets.where("shared IS NOT NULL").join(equal.where("id IS NOT NULL"), ["n", "digest", "id"]).dropDuplicates(["set_id", "digest"])
-    reps = able.select(F.col("set_id").alias("id"), "n", "shared")
+    # Equal sets collapse; sums of small columns, so a text copied a million times is one row a task.  A set's
+    # node is the smallest id that carries its shingles; its name is the smallest id that has it.
+    carrier = F.min(F.when(F.col("shared").isNotNull(), F.col("id")))
+    equal = sets.where("n > 0").groupBy("n", "digest").agg(F.min("id").alias("set_id"), carrier.alias("carrier")).withColumn("node", F.coalesce("carrier", "set_id"))
+    reps = sets.where("shared IS NOT NULL").join(equal.select(F.col("carrier").alias("id")), "id", "left_semi").dropDuplicates(["id", "digest"]).select("id", "n", "shared")
     prefixes = materialize(_prefixes(reps, percent))
     groups = prefixes.groupBy("n", "sig", "whole").agg(F.min("id").alias("gid"))
     grouped = prefixes.join(groups, ["n", "sig", "whole"]).select("id", "n", "prefix", "first", "gid")
@@ -412,17 +413,18 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_i
         return df.join(near.withColumnRenamed("node", col), col, "left").withColumn(col, F.coalesce("near", col)).drop("near")
 
     same_id = sets.where("n > 0").groupBy("id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).where("d1 <> d2").select("id")
-    through = sets.join(same_id, "id", "left_semi").where("n > 0").join(equal.drop("id"), ["n", "digest"]).select(F.col("id").alias("a"), F.col("set_id").alias("b")).where("a <> b")
+    through = sets.join(same_id, "id", "left_semi").where("n > 0").join(equal, ["n", "digest"]).select(F.col("id").alias("a"), F.col("node").alias("b")).where("a <> b")
     far = connected(verified.where(~F.col("whole")).select("a", "b").unionByName(lifted(lifted(through, "a"), "b")))
-    links = verified.groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("set_links"))
-    known = equal.select("n", "digest", "set_id").join(near.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("near", F.coalesce("near", "set_id"))
-    known = known.join(far.withColumnRenamed("node", "near"), "near", "left").join(links, "set_id", "left")
-    known = known.select(F.col("n").alias("kn"), F.col("digest").alias("kd"), "set_id", F.coalesce("root", "near").alias("root"), "set_links")
+    links = verified.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("set_links"))
+    known = equal.select("n", "digest", "set_id", "node").join(near, "node", "left").withColumn("near", F.coalesce("near", "node")).join(links, "node", "left")
+    known = materialize(known.join(far.withColumnRenamed("node", "near"), "near", "left").withColumn("root", F.coalesce("root", "near")))
+    least = known.groupBy("root").agg(F.min("set_id").alias("component"))
+    known = known.join(least, "root").select(F.col("n").alias("kn"), F.col("digest").alias("kd"), "set_id", "component", "set_links")
     out = sets.select("id", "n", "digest").join(known, (F.col("n") == F.col("kn")) & (F.col("digest") == F.col("kd")), "left")
     return out.select(
         "id",
         F.col("n").alias("n_shingles"),
-        F.coalesce("root", "id").alias("component_id"),
+        F.coalesce("component", "id").alias("component_id"),
         F.coalesce("set_id", "id").alias("set_id"),
         F.coalesce("set_links", F.lit(0).cast("long")).alias("set_links"),
     )
