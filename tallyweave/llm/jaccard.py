@@ -277,7 +277,9 @@ def _candidates(groups: DataFrame, percent: int) -> DataFrame:
     # task sorts one shingle's groups; the join that hands the smallest back is split by AQE.
     many = met.where(F.col("m") > CHAIN_FROM).withColumn("run", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.01 / percent))))
     runs = many.groupBy("shingle", "run").agg(F.min("gid").alias("head"), F.min("n").alias("low"), F.max("n").alias("high"))
-    hung = many.join(runs, ["shingle", "run"]).select(F.col("head").alias("a"), F.col("gid").alias("b"))
+    # A shingle's few runs go back to its groups as one map, where the groups are.
+    heads = runs.groupBy("shingle").agg(F.map_from_entries(F.collect_list(F.struct("run", "head"))).alias("heads"))
+    hung = many.join(heads, "shingle").select(F.col("heads")[F.col("run")].alias("a"), F.col("gid").alias("b"))
     across = Window.partitionBy("shingle").orderBy("run")  # a shingle has as many runs as sizes have powers
     bridge = runs.withColumn("prior", F.lag(F.struct("run", "head", "high")).over(across)).where((F.col("prior.run") == F.col("run") - 1) & (100 * F.col("prior.high") >= percent * F.col("low")))
     return pairs.unionByName(hung).unionByName(bridge.select(F.col("prior.head").alias("a"), F.col("head").alias("b"))).where("a <> b").distinct()
