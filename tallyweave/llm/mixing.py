@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyweave.llm.common import materialize, pieces, table
+from tallyweave.llm.common import materialize, table
 
 LEVELS = ("domain", "lang", "source")
 #: Leaves up to which their budgets are broadcast (some hundred bytes each); salts of the join beyond that.
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, share: float = 0.6, max_epochs: int = 3, weights: Weigh
     whole = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0).cast("long"))
     placed = _with_budget(rows, plan).withColumn("epochs", whole)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
-    placed = placed.withColumn("place", key).withColumn("slice", F.substring("place", 1, 3)).repartition(pieces(rows, 4 << 20), *LEVELS, "slice")
+    placed = placed.withColumn("place", key).withColumn("slice", F.substring("place", 1, 3)).repartition(*LEVELS, "slice")
     # A slice's place among its sixteen, and theirs among the leaf's 256: no task sums more than 256 rows of a leaf.
     sums = placed.groupBy(*LEVELS, "slice").agg(F.sum("n_tokens").alias("in_slice")).withColumn("coarse", F.substring("slice", 1, 2))
     fine = Window.partitionBy(*LEVELS, "coarse").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
