@@ -65,6 +65,24 @@ def relation_confidence(fused: Column, recon: Column, a: Column | float, b: Colu
     return clamp(F.when(recon == "pass", 1 - PASS_DOUBT * (1 - p)).when(recon == "fail", FAIL_FACTOR * p).otherwise(OPEN_FACTOR * p))
 
 
+def confidence_components(ce: Column, rules: Column, lex: Column, recon: Column, a: Column | float, b: Column | float, p0: Column | None = None, p1: Column | None = None) -> Column:
+    """What a confidence is made of: the scores, the verdict, the factor it changed the probability by, and the interval's ends."""
+    fused = fused_score(ce, rules, lex)
+    p, after = sigmoid(a * fused + b), relation_confidence(fused, recon, a, b)
+    verdict = F.when(recon == "pass", 1.0).when(recon == "fail", 0.0).otherwise(0.5)
+    none = F.lit(None).cast("double")
+    return F.struct(
+        F.round(ce, 4).alias("cross_encoder"),
+        F.round(rules, 4).alias("value_rules"),
+        F.round(lex, 4).alias("lexical"),
+        F.round(fused, 4).alias("fused"),
+        verdict.alias("reconciliation"),
+        F.when(p > 1e-9, F.round(after / p, 4)).otherwise(0.0).alias("validation_factor"),
+        (none if p0 is None else F.round(p0, 4)).alias("venn_abers_p0"),
+        (none if p1 is None else F.round(p1, 4)).alias("venn_abers_p1"),
+    )
+
+
 def low_confidence(p: Column, fitted: Column, d_only: Column, ce_available: Column, flag: float = 0.5) -> Column:
     return (p < flag) | ~fitted | d_only | ~ce_available
 

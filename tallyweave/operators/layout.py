@@ -27,6 +27,20 @@ def line_kinds(words: DataFrame, width: float) -> DataFrame:
     return counts.select(*LINE, kind.alias("kind"))
 
 
+def label_lines(words: DataFrame, width: float) -> DataFrame:
+    """Lines that may label rows: two lettered words or more, eight words at most, on the left, not in brackets, no amount."""
+    told = words.groupBy(*LINE).agg(F.count_if(F.col("text").rlike(r"\p{L}")).alias("worded"), F.count_if(g.is_money(F.col("text"))).alias("moneys"))
+    lines = lines_of(words).join(told, list(LINE))
+    return lines.where((F.col("worded") >= 2) & (F.col("n_words") <= 8) & (F.col("x0") < width / 2) & ~F.col("text").startswith("(") & (F.col("moneys") == 0))
+
+
+def years_explain(head: Column) -> Column:
+    """Aggregate over a table's columns: whether years head half of them or more; else their words name them."""
+    year = F.rtrim(head, F.lit("."))
+    dated = year.rlike("^[0-9]{1,9}$") & year.try_cast("int").between(*g.YEARS)
+    return 2 * F.count_if(F.coalesce(dated, F.lit(False))) >= F.count("*")
+
+
 def bbox(df: DataFrame, keys: o.Keys) -> DataFrame:
     return df.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 

@@ -112,3 +112,19 @@ def last_write_wins(df: DataFrame, keys: Keys, order: Keys) -> DataFrame:
     """The newest row of each key."""
     newest = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]))
     return df.withColumn("__nth", newest).where("__nth = 1").drop("__nth")
+
+
+def running_total(df: DataFrame, order: str, value: str, name: str = "upto", buckets: int = 4096) -> DataFrame:
+    """``df``, one row for each number ``order``, with the sum of ``value`` up to and with it.
+
+    Rows are summed within equal stretches of the numbers' range, and a stretch starts from the total of
+    those before it: no task takes all rows, and what is sent to them is a row for each stretch.
+    """
+    at = F.col(order).cast("double")
+    ends = df.agg(F.min(at).alias("__low"), F.max(at).alias("__high"))
+    share = F.coalesce(F.try_divide(at - F.col("__low"), F.col("__high") - F.col("__low")), F.lit(0.0))
+    dealt = df.crossJoin(F.broadcast(ends)).withColumn("__part", F.floor(share * buckets).cast("int")).drop("__low", "__high")
+    totals = dealt.groupBy("__part").agg(F.sum(value).alias("__sum"))
+    before = totals.select("__part", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(*BEFORE)), F.lit(0)).alias("__before"))
+    within = F.sum(value).over(Window.partitionBy("__part").orderBy(order).rowsBetween(*UPTO))
+    return dealt.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + within).drop("__part", "__before")

@@ -116,6 +116,12 @@ def c8_final_confidence(spark, sf):
     return decisions(spark, sf).select("l_orderkey", "l_linenumber", F.round(sc.relation_confidence(_fused(), F.col("recon"), 10.5, -3.7), 6).alias("confidence"))
 
 
+@query(f"WITH {DECISIONS}, s AS (SELECT *, 1 / (1 + exp(-(10.5 * ({FUSED}) - 3.7))) AS p FROM decisions) SELECT l_orderkey, l_linenumber, round(ce, 4) AS cross_encoder, round(b_score, 4)::DOUBLE AS value_rules, round(lex, 4)::DOUBLE AS lexical, round({FUSED}, 4)::DOUBLE AS fused, CASE recon WHEN 'pass' THEN 1.0 WHEN 'fail' THEN 0.0 ELSE 0.5 END::DOUBLE AS reconciliation, round(({CONF}) / p, 4)::DOUBLE AS validation_factor FROM s")
+def c8_components(spark, sf):
+    parts = sc.confidence_components(F.col("ce"), F.col("b_score"), F.col("lex"), F.col("recon"), 10.5, -3.7)
+    return decisions(spark, sf).select("l_orderkey", "l_linenumber", parts.alias("c")).select("l_orderkey", "l_linenumber", "c.*").drop("venn_abers_p0", "venn_abers_p1")
+
+
 @query(f"WITH {DECISIONS}, s AS (SELECT *, 1 / (1 + exp(-(10.5 * ({FUSED}) - 3.7))) AS p, {AGREE} AS agreement FROM decisions) SELECT l_orderkey, l_linenumber, round({CONF}, 6) < 0.5 OR l_orderkey % 10 = 0 OR agreement = 'd_only' OR l_orderkey % 13 = 0 AS low FROM s")
 def c9_low_confidence(spark, sf):
     p = F.round(sc.relation_confidence(_fused(), F.col("recon"), 10.5, -3.7), 6)
@@ -154,7 +160,17 @@ def a17_engine_stats(spark, sf):
     return _reads(spark, sf).groupBy((F.col("l_orderkey") % 25).alias("page")).agg(F.count_if(ok).alias("checked"), F.count_if(ok & (F.col("own") == F.col("other"))).alias("agree"), F.count_if(ok & (F.col("own") != F.col("other"))).alias("disagree"), F.count_if(~ok).alias("skipped"))
 
 
-@query(None)
+# Bisection on the binomial tail: forty halvings of both ends.
+_ENDS = """
+h AS (SELECT c_nationkey, count(*) FILTER (WHERE c_acctbal > 0) AS k, count(*) AS n FROM customer GROUP BY 1),
+e AS (SELECT *, unnest([0, 1]) AS hi FROM h),
+it(c_nationkey, k, n, hi, step, a, z) AS (SELECT c_nationkey, k, n, hi, 0, 0.0::DOUBLE, 1.0::DOUBLE FROM e UNION ALL
+  SELECT c_nationkey, k, n, hi, step + 1, CASE WHEN right_ THEN m ELSE a END, CASE WHEN right_ THEN z ELSE m END FROM (
+    SELECT *, CASE WHEN hi = 0 THEN t < 0.025 ELSE 1 - t > 0.025 END AS right_ FROM (
+      SELECT *, (a + z) / 2 AS m, list_sum(list_transform(range(k + hi, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((a + z) / 2) + (n - i) * ln(1 - (a + z) / 2)))) AS t FROM it WHERE step < 40)))"""
+
+
+@query(f"WITH RECURSIVE {_ENDS} SELECT c_nationkey, k, n, round(max(CASE WHEN hi = 0 THEN CASE WHEN k = 0 THEN 0 ELSE (a + z) / 2 END END), 6)::DOUBLE AS low, round(max(CASE WHEN hi = 1 THEN CASE WHEN k = n THEN 1 ELSE (a + z) / 2 END END), 6)::DOUBLE AS high FROM it WHERE step = 40 GROUP BY ALL")
 def c11_clopper_pearson(spark, sf):
     # hits among a nation's customers: counts are aggregated, intervals need one number pair each
     hits = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count_if(F.col("c_acctbal") > 0).alias("k"), F.count("*").alias("n"))
@@ -162,7 +178,7 @@ def c11_clopper_pearson(spark, sf):
     return hits.withColumn("ends", ends("k", "n")).select("c_nationkey", "k", "n", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
 
 
-@query(None)
+@query("WITH h AS (SELECT c_nationkey, count(*) FILTER (WHERE c_acctbal > 0 AND c_custkey % 2 = 0) AS b, count(*) FILTER (WHERE c_acctbal <= 0 AND c_custkey % 2 = 1) AS c FROM customer GROUP BY 1), t AS (SELECT *, b + c AS n, unnest(range(least(b, c) + 1)) AS i FROM h) SELECT c_nationkey, b, c, round(least(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))), 6)::DOUBLE AS p_value FROM t GROUP BY ALL")
 def c12_mcnemar(spark, sf):
     pairs = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count_if((F.col("c_acctbal") > 0) & (F.col("c_custkey") % 2 == 0)).alias("b"), F.count_if((F.col("c_acctbal") <= 0) & (F.col("c_custkey") % 2 == 1)).alias("c"))
     p = F.pandas_udf(lambda b, c: pd.Series([round(sc.mcnemar_exact(*bc), 6) for bc in zip(b, c, strict=True)]), "double")
@@ -195,9 +211,11 @@ def a15_brier(spark, sf):
 @query(f"WITH {POINTS}, r AS (SELECT y, x, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS r FROM pts) SELECT round((sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0) / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)), 6)::DOUBLE AS auc FROM r")
 def c15_auc(spark, sf):
     """Rank-sum form over counts by score: ties are pooled, so the ranked rows are distinct scores."""
-    from pyspark.sql.window import Window
-
     by = _points(spark, sf).groupBy("x").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("x").rowsBetween(*o.BEFORE)), F.lit(0))
-    won = by.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    won = o.running_total(by, "x", "neg").withColumn("won", F.col("pos") * (F.col("upto") - F.col("neg") / 2))
     return won.agg(F.round(F.sum("won") / (F.sum("pos") * F.sum("neg")), 6).alias("auc"))
+
+
+@query(f"WITH {POINTS}, r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY doc_id % 7) + (count(*) OVER (PARTITION BY doc_id % 7) - 1) / 2.0 AS ry FROM pts) SELECT round(corr(rx, ry), 6) AS rho FROM r")
+def c15_spearman(spark, sf):
+    return cal.spearman(_points(spark, sf).withColumn("z", F.col("doc_id") % 7), "x", "z").select(F.round("rho", 6).alias("rho"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyweave.operators import checks as ck
+from tallyweave.operators import filing as fl
 from tallyweave.plans.calibration import _reads
 from tallyweave.plans.scalar import DECISIONS, PARSED, decisions, tokens
 from tallyweave.functions import grammar as g
@@ -71,6 +72,29 @@ def fin_row_sum(spark, sf):
     return ck.row_sums(ledger(spark, sf), "toplam").select("scope", "status")
 
 
+_FAULTS = f"""{LEDGER}, faulty AS (SELECT 'none' AS fault, * FROM ledger
+ UNION ALL SELECT 'opening', * REPLACE (CASE WHEN role = 'opening' AND period = 'y2012' AND state = 'number' THEN value + 1000000 ELSE value END AS value) FROM ledger
+ UNION ALL SELECT 'member', * REPLACE (CASE WHEN role = 'flow' AND period = 'y2011' AND state = 'number' THEN value + 7 ELSE value END AS value) FROM ledger),
+c AS (SELECT fault, table_id, period, min_by(value, row_ord) FILTER (WHERE role = 'opening') AS o, min_by(value, row_ord) FILTER (WHERE role = 'closing') AS c, coalesce(sum(value) FILTER (WHERE role = 'flow'), 0) AS f,
+ coalesce(bool_or(role = 'flow' AND value IS NULL AND state = 'number'), false) AS unread, bool_or(role = 'opening') AND bool_or(role = 'closing') AND bool_or(role = 'flow') AS has FROM faulty GROUP BY ALL),
+r AS (SELECT fault, table_id, row_id, max(value) FILTER (WHERE period = 'toplam') AS t, sum(value) FILTER (WHERE period <> 'toplam') AS s, bool_or(period <> 'toplam' AND value IS NULL AND state = 'number') AS unread FROM faulty GROUP BY ALL),
+failed AS (SELECT fault, 'FIN_ROLLFORWARD' AS check_id, table_id || '.' || period AS scope FROM c WHERE has AND o IS NOT NULL AND c IS NOT NULL AND NOT unread AND o + f <> c
+ UNION ALL SELECT fault, 'FIN_ROW_SUM', table_id || '.' || row_id FROM r WHERE t IS NOT NULL AND NOT unread AND coalesce(s, 0) <> t)"""
+
+
+@query(f"WITH {_FAULTS} SELECT fault, check_id, count(*) AS new_failures FROM failed WHERE fault <> 'none' AND (check_id, scope) NOT IN (SELECT check_id, scope FROM failed WHERE fault = 'none') GROUP BY ALL")
+def y8_mutations(spark, sf):
+    """Planted faults and the checks that notice: failures that a clean run does not have."""
+    clean = ledger(spark, sf)
+    faults = {"opening": ((F.col("role") == "opening") & (F.col("period") == "y2012"), 1000000), "member": ((F.col("role") == "flow") & (F.col("period") == "y2011"), 7)}
+
+    def judged(led):
+        return ck.rollforward(led).unionByName(ck.row_sums(led, "toplam"))
+
+    found = [fl.new_failures(judged(clean), judged(fl.inject(clean, *fault))).withColumn("fault", F.lit(name)) for name, fault in faults.items()]
+    return found[0].unionByName(found[1]).groupBy("fault", "check_id").agg(F.count("*").alias("new_failures"))
+
+
 # Parents: one for each residue of the children's keys, exact for most customers.
 _PARENTS = """
 kids AS (SELECT table_id, parent_row_id, sum(v)::BIGINT AS s FROM flows WHERE parent_row_id IS NOT NULL GROUP BY ALL),

@@ -160,13 +160,16 @@ def p3_header_zone(spark, sf):
     return zone.groupBy("doc_id", "page", "island").agg(F.count("*").alias("header_lines"))
 
 
-@query(f"WITH {DOC_WORDS}, l AS (SELECT doc_id, page, line, string_agg(text, ' ' ORDER BY x0, pos) AS text, min(x0) AS x0, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, '\\p{{L}}')) AS alpha FROM doc_words GROUP BY ALL) SELECT doc_id, page, line FROM l WHERE alpha >= 2 AND n <= 8 AND x0 < 1240 AND NOT starts_with(text, '(') AND NOT EXISTS (SELECT 1 FROM doc_words d WHERE false)")
+# Words of documents with an amount at the end of every seventh line.
+_PRICED = """, priced AS (SELECT * FROM doc_words UNION ALL SELECT doc_id, page, line, max(pos) + 1, '1.250', max(x1_), max(y0), 90 FROM (SELECT *, x0 + 20 * length(text) + 10 AS x1_ FROM doc_words) WHERE line % 7 = 0 GROUP BY doc_id, page, line)"""
+
+
+@query(f"WITH {DOC_WORDS}{_PRICED}, l AS (SELECT doc_id, page, line, string_agg(text, ' ' ORDER BY x0, pos) AS text, min(x0) AS x0, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, '\\p{{L}}')) AS alpha, bool_or(text = '1.250') AS money FROM priced GROUP BY ALL) SELECT doc_id, page, line FROM l WHERE alpha >= 2 AND n <= 8 AND x0 < 1240 AND NOT starts_with(text, '(') AND NOT money")
 def p4_text_lines(spark, sf):
-    # lines of prose without amounts: the words of documents carry none in the left half
     words = doc_words(spark, sf)
-    alpha = words.groupBy(*ly.LINE).agg(F.count_if(F.col("text").rlike(r"\p{L}")).alias("alpha"))
-    lines = ly.lines_of(words).join(alpha, list(ly.LINE))
-    return lines.where((F.col("alpha") >= 2) & (F.col("n_words") <= 8) & (F.col("x0") < WIDTH / 2) & ~F.col("text").startswith("(")).select(*ly.LINE)
+    ends = words.where("line % 7 = 0").groupBy(*ly.LINE).agg((F.max("pos") + 1).alias("pos"), (F.max("x1") + 10).alias("x0"), F.max("y0").alias("y0"), F.max("y1").alias("y1"))
+    priced = ends.select(*ly.LINE, "pos", F.lit("1.250").alias("text"), "x0", "y0", (F.col("x0") + 100).alias("x1"), "y1", F.lit(90).alias("conf"))
+    return ly.label_lines(words.unionByName(priced), WIDTH).select(*ly.LINE)
 
 
 @query("WITH e AS (SELECT user_id, epoch(date_trunc('second', ts))::BIGINT AS sec FROM events), n AS (SELECT *, CASE WHEN sec - lag(sec) OVER w > 3600 THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY sec)), c AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY sec ROWS UNBOUNDED PRECEDING) AS cluster FROM n) SELECT user_id, cluster, min(sec) AS low, max(sec) AS high, count(*) AS size FROM c GROUP BY ALL")
@@ -225,10 +228,11 @@ def j8_category_header(spark, sf):
     return near.groupBy("doc_id", "col").agg(F.array_join(F.transform(ordered, lambda x: x["w"]), " ").alias("header"))
 
 
-@query(f"WITH {STATEMENT}{_COLUMNS}, years AS (SELECT doc_id, col, (doc_id + col) % 3 > 0 AS dated FROM cols) SELECT doc_id, count(*) FILTER (WHERE dated) * 2 >= count(*) AS dated_columns FROM years GROUP BY doc_id")
+@query(f"WITH {STATEMENT}{_COLUMNS}, heads AS (SELECT doc_id, col, CASE (doc_id + col) % 3 WHEN 0 THEN 'Arazi' WHEN 1 THEN '2012.' ELSE '1899' END AS head FROM cols) SELECT doc_id, count(*) FILTER (WHERE regexp_matches(rtrim(head, '.'), '^(19|20)[0-9][0-9]$')) * 2 >= count(*) AS dated_columns FROM heads GROUP BY doc_id")
 def p12_year_columns(spark, sf):
-    cols = _columns(spark, sf).withColumn("dated", (F.col("doc_id") + F.col("col")) % 3 > 0)
-    return cols.groupBy("doc_id").agg((F.count_if("dated") * 2 >= F.count("*")).alias("dated_columns"))
+    kind = ((F.col("doc_id") + F.col("col")) % 3).cast("int")
+    heads = _columns(spark, sf).withColumn("head", F.get(F.array(F.lit("Arazi"), F.lit("2012."), F.lit("1899")), kind))
+    return heads.groupBy("doc_id").agg(ly.years_explain(F.col("head")).alias("dated_columns"))
 
 
 @query("WITH i AS (SELECT DISTINCT l_orderkey, 100 + 18.0 * (l_partkey % 3) + (l_suppkey % 4) AS x FROM lineitem), n AS (SELECT *, CASE WHEN x - lag(x) OVER w > 14 THEN 1 ELSE 0 END AS new FROM i WINDOW w AS (PARTITION BY l_orderkey ORDER BY x)), k AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY x) AS c FROM n), cen AS (SELECT l_orderkey, c, avg(x) AS center FROM k GROUP BY ALL), d AS (SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, cen.c, row_number() OVER (PARTITION BY l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber ORDER BY abs(100 + 18.0 * (l_partkey % 3) + (l_suppkey % 4) - center), cen.c) AS rn FROM lineitem l JOIN cen USING (l_orderkey)) SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, c AS indent FROM d WHERE rn = 1")

@@ -10,6 +10,7 @@ from tallyweave.functions import grammar as g
 from tallyweave.functions import tokens as tk
 from tallyweave.operators import assembly as asm
 from tallyweave.operators import checks as ck
+from tallyweave.operators import filing as fl
 from tallyweave.operators import locate as lc
 from tallyweave.operators import matching as mt
 from tallyweave.operators import pages as pg
@@ -50,6 +51,27 @@ def x3_assemble_cells(spark, sf):
     return pg.page_cells(_pages(spark, sf), WIDTH)
 
 
+def filing_words(spark, sf):
+    """Statements with a note page each, which repeats every other line in new wording."""
+    words = _pages(spark, sf)
+    label = F.concat(F.col("text"), F.lit(" "), F.lit("toplami"))
+    note = words.where("line % 2 = 1").withColumns({"page": F.lit(1), "text": F.when(F.col("text").startswith("Kalem") & (F.col("line") % 4 == 1), label).otherwise(F.col("text"))})
+    return words.unionByName(note)
+
+
+@query(None)
+def run_filings(spark, sf):
+    """Words to relations in one run: tables, sides, candidates, decisions, fit, confidences."""
+    done = fl.run(filing_words(spark, sf), WIDTH, F.col("page") == 0)
+    return done.relations.drop("components")
+
+
+@query(None)
+def run_filing_checks(spark, sf):
+    """The same run's checks."""
+    return fl.run(filing_words(spark, sf), WIDTH, F.col("page") == 0).checks
+
+
 _HEAD = "h AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN (c_custkey % 30 + 1) || '. YATIRIM ' || c_mktsegment ELSE 'KONSOLIDE ' || c_mktsegment || ' TABLOSU' END AS title FROM customer)"
 
 

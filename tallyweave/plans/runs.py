@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyweave.functions import grammar as g
+from tallyweave.operators import assembly as asm
 from tallyweave.operators import ordered as o
+from tallyweave.operators import pages as pg
 from tallyweave.operators import runs as rn
 from tallyweave.plans.layout import STATEMENT, statement_words
 from tallyweave.sources.tables import table
@@ -170,10 +172,18 @@ def j10_point_in_window(spark, sf):
 # --- aggregates ----------------------------------------------------------------------------------------
 
 
-@query("WITH r AS (SELECT l_orderkey, l_returnflag, avg(1 - l_discount) * CASE WHEN l_returnflag = 'N' THEN 0.85 ELSE 1 END AS c FROM lineitem GROUP BY l_orderkey, l_returnflag), m AS (SELECT l_orderkey, avg(c) AS c FROM r GROUP BY l_orderkey) SELECT l_orderkey, round(c * (0.7 + 0.3 * (l_orderkey % 3 / 2.0::DOUBLE)), 10)::DOUBLE AS table_conf FROM m")
+_CONF_ROWS = """rw AS (SELECT l_orderkey, l_linenumber, any_value(CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE 'Kalem' END) AS label, avg(1 - l_discount) FILTER (WHERE l_linenumber % 4 <> 0) AS m FROM lineitem GROUP BY ALL),
+rc AS (SELECT *, coalesce(greatest(0, least(1, m * (1 - CASE WHEN label = '' THEN 0.15::DOUBLE ELSE 0 END))), 0.3) AS c FROM rw)"""
+
+
+@query(f"WITH {_CONF_ROWS} SELECT l_orderkey, round(avg(c) * (0.7 + 0.3 * CASE WHEN l_orderkey % 5 = 0 THEN 1.0::DOUBLE ELSE (l_orderkey % 3) / 2.0::DOUBLE END), 10)::DOUBLE AS table_conf FROM rc GROUP BY l_orderkey")
 def a6_row_table_confidence(spark, sf):
-    rows = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg((F.avg(1 - F.col("l_discount")) * F.when(F.first("l_returnflag") == "N", 0.85).otherwise(1.0)).alias("c"))
-    return rows.groupBy("l_orderkey").agg(F.round(F.avg("c") * (0.7 + 0.3 * (F.first("l_orderkey") % 3 / 2.0)), 10).alias("table_conf"))
+    li = table(spark, sf, "lineitem")
+    rows = li.select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 3 == 0, "").otherwise("Kalem").alias("label")).distinct()
+    cells = li.where("l_linenumber % 4 <> 0").select("l_orderkey", "l_linenumber", (1 - F.col("l_discount")).alias("conf"))
+    rated = asm.row_confidence(cells, rows, ["l_orderkey", "l_linenumber"])
+    counted = rated.withColumns({"columns": F.when(F.col("l_orderkey") % 5 == 0, 0).otherwise(2), "periods": (F.col("l_orderkey") % 3).cast("int")})
+    return asm.table_confidence(counted, ["l_orderkey"]).select("l_orderkey", F.round("table_conf", 10).alias("table_conf"))
 
 
 @query(f"WITH {A} SELECT l_linestatus, count(*) FILTER (WHERE agreement = 'consensus') AS consensus, count(*) FILTER (WHERE agreement = 'a_only') AS a_only, count(*) FILTER (WHERE agreement = 'b_only') AS b_only FROM rel_a GROUP BY 1")
@@ -319,11 +329,17 @@ def p2_rows_with_ref(spark, sf):
     return r.where(F.array_contains("refs", F.lit(11).cast("bigint"))).select("o_custkey")
 
 
-@query("WITH r AS (SELECT l_orderkey, l_returnflag, l_linestatus, count(*) AS cells FROM lineitem GROUP BY ALL) SELECT l_orderkey FROM r GROUP BY 1 HAVING count(*) FILTER (WHERE l_returnflag = 'R') >= 2 OR count(*) FILTER (WHERE cells >= 2) >= 2 OR count(*) >= 3")
+# A row for each line of an order; its cells stand in columns, none for every third line.
+@query("WITH r AS (SELECT l_orderkey, l_linenumber, any_value(CASE WHEN l_linenumber % 5 = 0 THEN 'Faiz oranı' ELSE 'Kalem' END) AS label, CASE WHEN l_linenumber % 3 = 0 THEN [] WHEN l_orderkey % 2 = 0 THEN [l_linenumber % 2] ELSE list_distinct(list(l_suppkey % 3)) END AS cols FROM lineitem GROUP BY l_orderkey, l_linenumber), t AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE contains(label, 'oran')) AS rates, count(*) FILTER (WHERE len(cols) >= 2) AS several FROM r GROUP BY 1), u AS (SELECT l_orderkey, max(n) AS used FROM (SELECT l_orderkey, c, count(*) AS n FROM (SELECT l_orderkey, unnest(cols) AS c FROM r) GROUP BY ALL) GROUP BY 1) SELECT t.l_orderkey FROM t LEFT JOIN u USING (l_orderkey) WHERE rates >= 2 OR CASE WHEN several = 0 THEN n >= 3 AND coalesce(used, 0) >= 3 ELSE several >= 2 OR n >= 3 END")
 def p5_coherent_tables(spark, sf):
-    r = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag", "l_linestatus").agg(F.count("*").alias("cells"))
-    t = r.groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("rate"), F.count_if(F.col("cells") >= 2).alias("multi"), F.count("*").alias("rows"))
-    return t.where("rate >= 2 OR multi >= 2 OR rows >= 3").select("l_orderkey")
+    li = table(spark, sf, "lineitem")
+    label = F.when(F.col("l_linenumber") % 5 == 0, "Faiz oranı").otherwise("Kalem")
+    seen = F.transform(F.collect_set(F.col("l_suppkey") % 3), lambda c: F.struct(c.alias("col")))
+    one = F.array(F.struct((F.col("l_linenumber") % 2).cast("bigint").alias("col")))
+    rows = li.groupBy("l_orderkey", "l_linenumber").agg(seen.alias("seen"))
+    cells = F.when(F.col("l_linenumber") % 3 == 0, F.slice("seen", 1, 0)).when(F.col("l_orderkey") % 2 == 0, one).otherwise(F.col("seen"))
+    tables = rows.groupBy("l_orderkey").agg(F.collect_list(F.struct(label.alias("label"), cells.alias("cells"))).alias("rows"))
+    return tables.where(pg.coherent(F.col("rows"))).select("l_orderkey")
 
 
 @query(f"WITH {STATEMENT}, r AS (SELECT doc_id, line, text, (x0 + x1) / 2 AS c FROM statement WHERE regexp_matches(text, '^[0-9]{{1,2}}$')) SELECT doc_id, line, text AS ref, c BETWEEN 1000 AND 1015 AS phantom FROM r")
@@ -396,7 +412,6 @@ def u6_distinct_sets(spark, sf):
 
 @query(f"WITH {A}, {B} SELECT {K} FROM rel_b WHERE low_confidence EXCEPT SELECT {K} FROM rel_a WHERE low_confidence")
 def u7_new_failures(spark, sf):
-    """Also y8: what a fault adds to the failures of a clean run."""
     return rels(spark, sf, "b").where("low_confidence").select(*KEY).join(rels(spark, sf, "a").where("low_confidence").select(*KEY), list(KEY), "left_anti")
 
 

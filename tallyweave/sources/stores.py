@@ -6,8 +6,12 @@ row wins.  Nothing here opens a path itself, so any file system that Spark knows
 
 from __future__ import annotations
 
+import contextlib
 import html
-from collections.abc import Mapping, Sequence
+import json
+import platform
+import time
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +35,57 @@ def write_run(root: str, run_id: str, parts: Mapping[str, DataFrame], meta: Mapp
     spark.createDataFrame([tuple(str(v) for v in meta.values())], ", ".join(f"{k} string" for k in meta)).write.mode("overwrite").parquet(f"{root}/meta/run_id={run_id}")
 
 
+class Busy(RuntimeError):
+    """Another run holds the lock."""
+
+
+@contextlib.contextmanager
+def running(spark: SparkSession, root: str, run_id: str, overrides: Mapping[str, object] | None = None):
+    """One run at a time: holds ``root``'s lock and keeps the run's state (running, then done or error), time and settings.
+
+    The lock is a file that only one caller can create, on whatever file system holds the store.
+    """
+    lock = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/lock")
+    fs = lock.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.createNewFile(lock):
+        raise Busy(run_id)
+    start = time.time()
+    told = {"platform": platform.platform(), "overrides": json.dumps(overrides or {}, sort_keys=True)}
+
+    def tell(state: str, error: str = "") -> None:
+        row = {"run_id": run_id, "state": state, "started": start, "duration_s": round(time.time() - start, 3), "error": error, **told}
+        meta = spark.createDataFrame([tuple(str(v) for v in row.values())], ", ".join(f"{k} string" for k in row))
+        meta.write.mode("overwrite").parquet(f"{root}/status/of={run_id}")
+
+    try:
+        tell("running")
+        yield
+        tell("done")
+    except BaseException as error:
+        tell("error", f"{type(error).__name__}: {error}")
+        raise
+    finally:
+        fs.delete(lock, False)
+
+
+def status(spark: SparkSession, root: str, run_id: str) -> str:
+    """running, done or error; absent for a run that never began."""
+    try:
+        return spark.read.parquet(f"{root}/status/of={run_id}").first().state
+    except AnalysisException:
+        return "absent"
+
+
+def batch(spark: SparkSession, root: str, runs: Mapping[str, Callable[[], None]]) -> dict[str, str]:
+    """Runs what is not done yet, in order; one that fails does not stop the rest."""
+    for run_id, work in runs.items():
+        if status(spark, root, run_id) == "done":
+            continue
+        with contextlib.suppress(Exception), running(spark, root, run_id):
+            work()
+    return {run_id: status(spark, root, run_id) for run_id in runs}
+
+
 def read_run(spark: SparkSession, root: str, name: str, run_id: str) -> DataFrame | None:
     """One collection of a run, or None when it was never stored."""
     try:
