@@ -27,9 +27,13 @@ def line_kinds(words: DataFrame, width: float) -> DataFrame:
     return counts.select(*LINE, kind.alias("kind"))
 
 
-def label_lines(words: DataFrame, width: float) -> DataFrame:
-    """Lines that may label rows: two lettered words or more, eight words at most, on the left, not in brackets, no amount."""
-    told = words.groupBy(*LINE).agg(F.count_if(F.col("text").rlike(r"\p{L}")).alias("worded"), F.count_if(g.is_money(F.col("text"))).alias("moneys"))
+def label_lines(words: DataFrame, width: float, money: Column | None = None) -> DataFrame:
+    """Lines that may label rows: two lettered words or more, eight words at most, on the left, not in brackets, no amount.
+
+    ``money`` tells amounts where the words' source knows them; without it the grammar does, which takes any long number for one.
+    """
+    money = g.is_money(F.col("text")) if money is None else money
+    told = words.groupBy(*LINE).agg(F.count_if(F.col("text").rlike(r"\p{L}")).alias("worded"), F.count_if(money).alias("moneys"))
     lines = lines_of(words).join(told, list(LINE))
     return lines.where((F.col("worded") >= 2) & (F.col("n_words") <= 8) & (F.col("x0") < width / 2) & ~F.col("text").startswith("(") & (F.col("moneys") == 0))
 

@@ -23,6 +23,14 @@ def test_runs_without_twin(name, spark, small_dir):
     assert QUERIES[name](spark, small_dir).count() > 0
 
 
+def test_label_lines_with_long_numbers(spark, tmp_path):
+    # a number of the prose is no amount, whatever its length; the amount set at a line's end is one
+    texts = [(1, "Sh. Ndth. 4644348398010899\nAra toplam 1.250,00"), (2, "a b\nc d\n5000 e f")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got, want = bags(QUERIES["p4_text_lines"], TWINS["p4_text_lines"], spark, str(tmp_path), connect(str(tmp_path)))
+    assert got == want and len(got) > 1
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
