@@ -28,6 +28,7 @@ other columns are never read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,6 +102,23 @@ ABOUT, SINGLE, SEVERAL, HOLDERS = range(4)
 MANY = 4
 
 
+def _squeezed(numbers: np.ndarray, rising: bool) -> bytes:
+    """16-bit numbers in few bytes: steps of ``rising`` ones, low bytes before high ones, deflated."""
+    n = numbers.astype("<u2")
+    if rising:
+        n = np.diff(n, prepend=n.dtype.type(0))  # steps wrap, so any numbers come back
+    return zlib.compress(n.view(np.uint8).reshape(-1, 2).T.tobytes(), 1)
+
+
+def _loosened(cells: pd.Series, rising: bool) -> np.ndarray:
+    """The numbers of :func:`_squeezed` cells, one after the other."""
+    out = [np.zeros(0, "<u2")]
+    for cell in cells:
+        n = np.frombuffer(zlib.decompress(cell), np.uint8).reshape(2, -1).T.copy().view("<u2").ravel()
+        out.append(np.cumsum(n, dtype=np.uint16) if rising else n)
+    return np.concatenate(out)
+
+
 def _pack(docs: DataFrame, k: int, shards: int) -> DataFrame:
     """Rows ``shard, top, block, kind, hashes, owner, sizes``; ``top`` is the first byte of a row's hashes, which hold the rest.
 
@@ -109,12 +127,12 @@ def _pack(docs: DataFrame, k: int, shards: int) -> DataFrame:
     """
 
     def flush(ids: list, sets: list[np.ndarray], block: int) -> Iterator[dict]:
-        def row(kind: int, shard: int, hashes: bytes, owner: np.ndarray, sizes: bytes, top: int = 0) -> dict:
-            return {"shard": shard, "top": top, "block": block, "kind": kind, "hashes": hashes, "owner": owner.tobytes(), "sizes": sizes}
+        def row(kind: int, shard: int, hashes: bytes, owner: bytes, sizes: bytes, top: int = 0) -> dict:
+            return {"shard": shard, "top": top, "block": block, "kind": kind, "hashes": hashes, "owner": owner, "sizes": sizes}
 
         here = -1 - block % shards
         digests = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
-        yield row(ABOUT, here, b"".join(digests), np.array(ids, "<i8"), np.array([len(s) for s in sets], "<u4").tobytes())
+        yield row(ABOUT, here, b"".join(digests), np.array(ids, "<i8").tobytes(), np.array([len(s) for s in sets], "<u4").tobytes())
         first: dict[bytes, int] = {}
         for i, d in enumerate(digests):
             first.setdefault(d, i)
@@ -128,12 +146,12 @@ def _pack(docs: DataFrame, k: int, shards: int) -> DataFrame:
         lone_asc = np.repeat(count < MANY, count)
         many, many_count = asc[new[count >= MANY]], count[count >= MANY].astype("<u2")
         if len(many):
-            yield row(HOLDERS, here, many.astype("<u8").tobytes(), owner[by][~lone_asc], many_count.tobytes())
+            yield row(HOLDERS, here, many.astype("<u8").tobytes(), _squeezed(owner[by][~lone_asc], True), _squeezed(many_count, False))
         lone = np.empty(len(flat), bool)
         lone[by] = lone_asc
         for kind, part, side in ((SINGLE, flat[lone], owner[lone]), (SEVERAL, many, many_count)):
             # The shard is the hash's place in as many equal ranges.  Shard and first byte rise with the hash, so
-            # their sum tells both; a row's holders stay in order, as rising numbers compress.
+            # their sum tells both; a row's holders stay in order, as small steps are few bytes.
             shard, top = ((part >> np.uint64(40)) * np.uint64(shards)) >> np.uint64(24), part >> np.uint64(56)
             place = (shard + top).astype(np.uint16 if shards < 65_000 else np.uint32)
             order = np.argsort(place, kind="stable")
@@ -143,7 +161,7 @@ def _pack(docs: DataFrame, k: int, shards: int) -> DataFrame:
             for at, end in zip([0, *cut], [*cut, len(part)], strict=True):
                 if at < end:
                     mine, h = side[at:end], int(part[at])
-                    yield row(kind, (h >> 40) * shards >> 24, low[at:end].tobytes(), mine if kind == SINGLE else mine[:0], mine.tobytes() if kind == SEVERAL else b"", h >> 56)
+                    yield row(kind, (h >> 40) * shards >> 24, low[at:end].tobytes(), _squeezed(mine, True) if kind == SINGLE else b"", _squeezed(mine, False) if kind == SEVERAL else b"", h >> 56)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(k)
@@ -169,35 +187,42 @@ def _joined(cells: pd.Series, kind: str | type) -> np.ndarray:
     return np.frombuffer(b"".join(cells), kind)
 
 
+def _full(rows: pd.DataFrame) -> np.ndarray:
+    """The hashes of rows that hold seven bytes of each beside the row's ``top``."""
+    counts = rows["hashes"].map(len).to_numpy(np.int64) // 7
+    whole = np.zeros((counts.sum(), 8), np.uint8)
+    whole[:, :7] = _joined(rows["hashes"], np.uint8).reshape(-1, 7)
+    whole[:, 7] = np.repeat(rows["top"].to_numpy(np.int64), counts)
+    return whole.view("<u8").ravel()
+
+
 def _repeated(packed: DataFrame) -> DataFrame:
-    """Per shard, the entries whose shingle two or more sets hold: ``block, kind, hashes, owner, held``."""
+    """Per shard, the entries whose shingle two or more sets hold: ``block, kind, top, hashes, owner, held``."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        names = ["block", "kind", "hashes", "owner", "held"]
+        names = ["block", "kind", "top", "hashes", "owner", "held"]
         if key[0] < 0:  # what blocks tell of their documents passes through
             return rows.rename(columns={"sizes": "held"})[names]
         counts = rows["hashes"].map(len).to_numpy() // 7
-        low = np.zeros((counts.sum(), 8), np.uint8)
-        low[:, :7] = _joined(rows["hashes"], np.uint8).reshape(-1, 7)
-        low[:, 7] = np.repeat(rows["top"].to_numpy(), counts)
-        h = low.view("<u8").ravel()
-        weight = np.concatenate([np.frombuffer(s, "<u2") if kind == SEVERAL else np.ones(n, np.uint16) for kind, n, s in zip(rows["kind"], counts, rows["sizes"], strict=True)])
+        h = _full(rows)
+        low = h.view(np.uint8).reshape(-1, 8)
+        weight = np.concatenate([_loosened([s], False) if kind == SEVERAL else np.ones(n, np.uint16) for kind, n, s in zip(rows["kind"], counts, rows["sizes"], strict=True)])
         by = np.argsort(h)
         new = np.concatenate([[True], h[by][1:] != h[by][:-1]])
         run_of = np.cumsum(new) - 1
         held = np.empty(len(h), np.int64)
         held[by] = np.add.reduceat(weight[by].astype(np.int64), np.flatnonzero(new))[run_of]
         out, at = [], 0
-        for block, kind, n, o in zip(rows["block"], rows["kind"], counts.tolist(), rows["owner"], strict=True):
+        for block, kind, top, n, o in zip(rows["block"], rows["kind"], rows["top"], counts.tolist(), rows["owner"], strict=True):
             here = slice(at, at + n)
             at += n
             keep = held[here] >= 2
             if keep.any():
-                owner = np.frombuffer(o, "<u2")[keep] if kind == SINGLE else np.zeros(0, "<u2")
-                out.append((block, kind, h[here][keep].tobytes(), owner.tobytes(), np.minimum(held[here][keep], MOST_HELD).astype("<u2").tobytes()))
+                owner = _squeezed(_loosened([o], True)[keep], True) if kind == SINGLE else b""
+                out.append((block, kind, top, low[here, :7][keep].tobytes(), owner, _squeezed(np.minimum(held[here][keep], MOST_HELD), False)))
         return pd.DataFrame(out, columns=names)
 
-    return packed.groupBy("shard").applyInPandas(run, "block bigint, kind int, hashes binary, owner binary, held binary")
+    return packed.groupBy("shard").applyInPandas(run, "block bigint, kind int, top int, hashes binary, owner binary, held binary")
 
 
 def _sets(repeated: DataFrame, percent: int) -> DataFrame:
@@ -213,13 +238,13 @@ def _sets(repeated: DataFrame, percent: int) -> DataFrame:
         about = of(ABOUT).iloc[0]
         ids, sizes = np.frombuffer(about["owner"], "<i8"), np.frombuffer(about["held"], "<u4").astype(np.int64)
         single, several, holders = of(SINGLE), of(SEVERAL), of(HOLDERS)
-        h, owner, held = _joined(single["hashes"], "<u8"), _joined(single["owner"], "<u2"), _joined(single["held"], "<u2")
+        h, owner, held = _full(single), _loosened(single["owner"], True), _loosened(single["held"], False)
         if len(holders):
-            known, known_held = _joined(several["hashes"], "<u8"), _joined(several["held"], "<u2")
+            known, known_held = _full(several), _loosened(several["held"], False)
             by = np.argsort(known)
-            mine, count = _joined(holders["hashes"], "<u8"), _joined(holders["held"], "<u2")
+            mine, count = _joined(holders["hashes"], "<u8"), _loosened(holders["held"], False)
             at = by[np.searchsorted(known, mine, sorter=by)]
-            h, owner = np.concatenate([h, np.repeat(mine, count)]), np.concatenate([owner, _joined(holders["owner"], "<u2")])
+            h, owner = np.concatenate([h, np.repeat(mine, count)]), np.concatenate([owner, _loosened(holders["owner"], True)])
             held = np.concatenate([held, np.repeat(known_held[at], count)])
         owner = owner.astype(np.int64)
         have = np.bincount(owner, minlength=len(ids))

@@ -113,3 +113,14 @@ def test_components(spark):
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100, 103: 100, 200: 200, 201: 200}
     assert connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_squeezed_numbers():
+    draw = np.random.default_rng(5)
+    rising, any_ = np.sort(draw.integers(0, 60_000, 3000)).astype("<u2"), draw.integers(0, 65_536, 500).astype("<u2")
+    few = np.full(2000, 3, "<u2")
+    for part in (rising, any_, few, any_[:0]):
+        for kind in (True, False):
+            assert (jc._loosened([jc._squeezed(part, kind), jc._squeezed(few, kind)], kind) == np.concatenate([part, few])).all()
+    # what rows of a shard carry beside the hashes, two bytes an entry before
+    assert len(jc._squeezed(np.sort(draw.integers(0, 3000, 3000)), True)) < 3000 / 2
