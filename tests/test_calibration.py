@@ -84,3 +84,37 @@ def test_interval_of_many_trials():
         low, high = sc.clopper_pearson(k, n)
         spread = 2.1 * math.sqrt(n) / n
         assert 0 <= low <= k / n <= high <= 1 and high - low < spread
+
+
+def test_left_out_fits_of_equal_points():
+    def plain(x, y):
+        full, errors, worst, bad = cal.fit_points(x, y), [], 0.0, 0
+        curve = lambda f: 1 / (1 + np.exp(-(f[0] * x + f[1])))
+        for i in range(len(x)):
+            if (left := cal.fit_points(np.delete(x, i), np.delete(y, i))) is None:
+                bad += 1
+                continue
+            worst = max(worst, float(np.abs(curve(left) - curve(full)).max()))
+            errors.append((curve(left)[i] - y[i]) ** 2)
+        return worst, bad, float(np.mean(errors)) if errors else None
+
+    rng = np.random.default_rng(4)
+    for size, overlap in ((8, 0.5), (30, 0.9), (60, 0.2), (7, 0.4)):
+        y = np.array([0, 0, 0, 1, 1, 1, *rng.integers(0, 2, size - 6)])
+        x = np.round(0.5 * y + overlap * rng.random(size), 1)
+        full, knife, score = cal.stability(x, y)
+        if full is None:
+            continue
+        worst, bad, want = plain(x, y)
+        assert score == pytest.approx(want, abs=1e-10)
+        assert knife == ((pytest.approx(worst, abs=1e-9), bad) if size >= 8 else None)
+
+
+def test_large_groups_are_counted(spark):
+    # thirty thousand points at forty places: one left out at a time, that was thirty thousand fits over all of them
+    import time
+
+    points = spark.range(30_000).selectExpr("1 AS doc", "0.4 * (id % 2) + (id % 20) / 20.0D AS x", "cast(id % 2 AS int) AS y")
+    started = time.time()
+    got = cal.calibrate_groups(points, "doc").first()
+    assert got.fitted and got.loo_degenerate == 0 and got.loo_max_dp < 1e-3 and time.time() - started < 60
