@@ -55,6 +55,12 @@ def test_same_run_twice(done, spark):
     assert sorted(map(str, again.relations.collect())) == sorted(map(str, done.relations.collect()))
 
 
+def test_rows_and_cells_are_computed_once(done):
+    for part in (done.rows, done.cells):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(step in plan for step in ("Window", "Join", "Aggregate"))
+
+
 def test_no_words(spark):
     empty = fl.run(spark.createDataFrame([], WORDS), WIDTH, F.col("page") == 0)
     assert empty.relations.count() == empty.checks.count() == 0
