@@ -25,10 +25,10 @@ from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import give_back, materialize, small_batches, table, typed, worded
+from tallyweave.llm.common import give_back, materialize, small_batches, typed, worded
 
 CLASSES, ORDER = 48, 4
 GRAMS = CLASSES**ORDER
@@ -99,7 +99,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select("text", "trusted").mapInPandas(run, "code bigint, trusted bigint").groupBy("code").agg(F.sum("trusted").alias("c"))
 
 
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
+def discounts(counts: DataFrame) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts for counts of one, two, three and more."""
     n = counts.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
     if not all(n):
@@ -110,7 +110,7 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(code, own): the discounted share of each seen gram; (context, rest): the mass left to shorter grams."""
-    d1, d2, d3 = _discounts(counts)
+    d1, d2, d3 = discounts(counts)
     c = F.col("c")
     taken = F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)
     rows = counts.select("code", c, F.expr(f"code div {CLASSES}").alias("context"), taken.alias("taken"))
@@ -165,6 +165,26 @@ def document_logs(docs: DataFrame, logs: DataFrame) -> DataFrame:
     return typed(small_batches(worded(docs, *kept)).mapInPandas(run, schema), docs, *kept)
 
 
+def judged(told: DataFrame, basis: DataFrame, quantile: float, margin: float, prior: int) -> DataFrame:
+    """``id, lang, trusted, n_grams, perplexity, threshold, keep`` from rows with ``n_grams`` and ``logp``; the rows of ``basis`` set means and limits."""
+    # One small row for each language, and one for all.
+    means = basis.groupBy("lang").agg((F.sum("logp") / F.sum("n_grams")).alias("mean"))
+    all_mean = basis.agg((F.sum("logp") / F.sum("n_grams")).alias("all_mean"))
+    mean = F.coalesce("mean", "all_mean", F.lit(0.0))
+
+    def perplexity(df: DataFrame) -> DataFrame:
+        near = means.withColumnRenamed("lang", "mean_lang")
+        df = df.join(near, F.col("lang").eqNullSafe(F.col("mean_lang")), "left").join(F.broadcast(all_mean))
+        return df.withColumn("perplexity", F.exp(-(F.col("logp") + prior * mean) / (F.col("n_grams") + prior)))
+
+    high = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * margin
+    limits = perplexity(basis).groupBy("lang").agg(high.alias("limit")).withColumnRenamed("lang", "limit_lang")
+    all_limit = perplexity(basis).agg(high.alias("all_limit"))
+    limit: Column = F.coalesce("limit", "all_limit")
+    out = perplexity(told).join(limits, F.col("lang").eqNullSafe(F.col("limit_lang")), "left").join(F.broadcast(all_limit))
+    return out.select("id", "lang", "trusted", "n_grams", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(True)).alias("keep"))
+
+
 def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, margin: float = 1.5, prior_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``id, lang, trusted, n_grams, perplexity, threshold, keep`` for every row."""
     good = labels.where((F.col("quality") == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("good_id")).distinct()
@@ -177,23 +197,7 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, margin: f
     # every size: whether the labels would fit a broadcast must not change what the job costs.
     logs = gram_logs(materialize(gram_counts(marked(rows, good.hint("shuffle_merge")))))
     told = materialize(marked(document_logs(rows, logs)))
-    trusted = told.where("trusted AND n_grams > 0")
-    # One small row for each language, and one for all.
-    means = trusted.groupBy("lang").agg((F.sum("logp") / F.sum("n_grams")).alias("mean"))
-    all_mean = trusted.agg((F.sum("logp") / F.sum("n_grams")).alias("all_mean"))
-    mean = F.coalesce("mean", "all_mean", F.lit(0.0))
-
-    def perplexity(df: DataFrame) -> DataFrame:
-        near = means.withColumnRenamed("lang", "mean_lang")
-        df = df.join(near, F.col("lang").eqNullSafe(F.col("mean_lang")), "left").join(F.broadcast(all_mean))
-        return df.withColumn("perplexity", F.exp(-(F.col("logp") + prior_chars * mean) / (F.col("n_grams") + prior_chars)))
-
-    high = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * margin
-    limits = perplexity(trusted).groupBy("lang").agg(high.alias("limit")).withColumnRenamed("lang", "limit_lang")
-    all_limit = perplexity(trusted).agg(high.alias("all_limit"))
-    limit: Column = F.coalesce("limit", "all_limit")
-    out = perplexity(told).join(limits, F.col("lang").eqNullSafe(F.col("limit_lang")), "left").join(F.broadcast(all_limit))
-    return out.select("id", "lang", "trusted", "n_grams", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(True)).alias("keep"))
+    return judged(told, told.where("trusted AND n_grams > 0"), quantile, margin, prior_chars)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -203,7 +207,3 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     rows = docs.groupBy(id_col).agg(F.count("*").alias("rows"))
     gone = bad.groupBy("id").agg(F.count("*").alias("bad")).join(rows, F.col("id") == F.col(id_col)).where("bad = rows").select(F.col("id").alias("gone_id"))
     return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
-
-
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")

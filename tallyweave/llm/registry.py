@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import bpe, chat, jaccard, line_dedup, media, mixing, quality, sketch, toxicity, urls
+from tallyweave.llm import bpe, chat, jaccard, line_dedup, media, mixing, sketch, toxicity, urls, word_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +17,7 @@ QUERIES: dict[str, Query] = {
     "op3_sketch": sketch.query,
     "op4_line_dedup": line_dedup.query,
     "op5_urls": urls.query,
-    "op6_quality": quality.query,
+    "op6_quality": word_quality.query,
     "op7_media": media.query,
     "op8_mixing": mixing.query,
     "op9_chat": chat.query,
