@@ -44,6 +44,29 @@ def test_cache_starts_afresh(spec, monkeypatch):
     assert mine.encode_batch(["six"]) and mine.encode_batch(["one two three four five"]) == first
 
 
+def test_words_met_lately_are_kept(spec, monkeypatch):
+    """A full cache forgets what was not met lately; a word of every batch is learnt once."""
+    mine = bpe.WordBpe(spec)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 8)
+    learnt = []
+    learn = mine.learn
+    monkeypatch.setattr(mine, "learn", lambda words: learn(learnt.extend(w := list(words)) or w))
+    for k in range(20):
+        mine.encode_batch([f"thththat {' '.join(f'w{chr(97 + k)}{c}' for c in 'abcde')}"])
+        assert len(mine.cache) <= 16
+    assert learnt.count("thththat") == 1 and len(learnt) == 101
+
+
+def test_side_by_side_is_one_by_one(spec):
+    mine, draw = bpe.WordBpe(spec), random.Random(2)
+    words = ["".join(draw.choice("abcdefghinorstuéßщ語'") for _ in range(draw.randint(1, 40))) for _ in range(3000)]
+    words += ["thththat", "the", "a", "\u00e9", *(mine.names[i].removesuffix(bpe.WORD_END) for i in range(1000, 40000, 97) if mine.names[i].isascii())]
+    raw = [w.encode() for w in words]
+    flat, sizes = mine.propose_side_by_side(np.frombuffer(b"".join(raw), np.uint8).astype(np.int64), np.array([len(w) for w in raw]))
+    assert [p.tolist() for p in np.split(flat, np.cumsum(sizes)[:-1])] == [mine.propose(mine.symbols(w)) for w in words]
+    assert [np.frombuffer(b, "<u4").tolist() for b in mine.merge_side_by_side(words)] == [mine.merge(mine.symbols(w)) for w in words]
+
+
 def test_odd_rows(nasty, empty, spec):
     got = bpe.encode_digest(nasty, spec).collect()
     assert len(got) == nasty.count()
