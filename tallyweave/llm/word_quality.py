@@ -224,6 +224,7 @@ def gram_weights(counts: DataFrame, order: int, shelf: Shelf) -> tuple[float, Da
     for part in parts[1:]:
         shorter = shorter.unionByName(part)
     shorter = shelf.put("shorter", shorter.groupBy("key").agg(F.sum("weight").cast("int").alias("weight"), F.max("often").alias("often")))
+    shelf.drop("level1", *[f"totals{k}" for k in range(2, order + 1)], *[f"weights{k}" for k in range(2, order)])
     return base, shorter.unionByName(low.select("key", "weight", "often"))
 
 
@@ -245,6 +246,7 @@ def document_logs(rows: DataFrame, base: float, weights: DataFrame, order: int,
     keyed = rows.select("id", "lang", F.xxhash64("id", "lang", "text", *[F.col(x).isNull() for x in ("id", "lang", "text")]).alias("row"), "text")
     hot, bits = hottest(weights), bitmap(weights.select("key"), GRAM_BITS)
     shared = rows.sparkSession.sparkContext.broadcast((*hot, bits))
+    let_go(rows.sparkSession)  # what the bitmap's tasks shuffled need not lie beside the first part's grams
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hot_keys, hot_weights, bits = shared.value

@@ -110,6 +110,28 @@ def test_rare_and_frequent_grams_give_one_sum(spark, small_dir, monkeypatch):
     assert got == pytest.approx(want, rel=1e-12)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_only_weights_lie_beside_the_parts(spark, small_dir, monkeypatch, order):
+    """When the documents' grams are shuffled, the disk holds the weights and nothing that led to them."""
+    from pathlib import Path
+
+    done, put, let_go, bitmap = [], wq.Shelf.put, wq.let_go, wq.bitmap
+
+    def spied(self, name, *parts):
+        if name == "logs":
+            done.append(sorted(p.name for p in Path(self.place.removeprefix("file:")).iterdir()))
+        return put(self, name, *parts)
+
+    monkeypatch.setattr(wq.Shelf, "put", spied)
+    monkeypatch.setattr(wq, "let_go", lambda s: (done.append("let go"), let_go(s)))
+    monkeypatch.setattr(wq, "bitmap", lambda *a: (done.append("bitmap"), bitmap(*a))[1])
+    docs, labels = (spark.read.parquet(f"{small_dir}/{t}.parquet") for t in ("documents", "labels"))
+    assert wq.score(docs, labels, order).count() == docs.count()
+    at = next(k for k, x in enumerate(done) if isinstance(x, list))
+    assert done[at] == ["shorter", f"weights{order}"]
+    assert done[at - 2 : at] == ["bitmap", "let go"]
+
+
 def test_hashes_are_spark_s(spark):
     rows = [(0, 1), (-1, 2**63 - 1), (-(2**63), 12345678901234567)]
     want = spark.createDataFrame(rows, "a bigint, b bigint").select(F.xxhash64("a").alias("one"), F.xxhash64("a", "b").alias("two")).collect()
