@@ -200,10 +200,15 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, margin: f
     return judged(told, told.where("trusted AND n_grams > 0"), quantile, margin, prior_chars)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that :func:`score` keeps; only ids of rejected rows are joined to them."""
-    bad = score(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col).where(~F.col("keep")).select("id", "perplexity")
+def without_rejected(docs: DataFrame, scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that ``scored`` keeps; only ids of rejected rows are joined to them."""
+    bad = scored.where(~F.col("keep")).select("id", "perplexity")
     # An id goes only if every row of it is rejected.
     rows = docs.groupBy(id_col).agg(F.count("*").alias("rows"))
     gone = bad.groupBy("id").agg(F.count("*").alias("bad")).join(rows, F.col("id") == F.col(id_col)).where("bad = rows").select(F.col("id").alias("gone_id"))
     return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that :func:`score` keeps."""
+    return without_rejected(docs, score(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col), id_col)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm.common import checkpoint_dir, give_back, let_go, materialize, small_batches, table
-from tallyweave.llm.quality import discounts, judged
+from tallyweave.llm.quality import discounts, judged, without_rejected
 
 ORDER = 2
 START, END = np.int64(1), np.int64(2)
@@ -246,6 +246,7 @@ def document_logs(rows: DataFrame, base: float, weights: DataFrame, order: int,
     keyed = rows.select("id", "lang", F.xxhash64("id", "lang", "text", *[F.col(x).isNull() for x in ("id", "lang", "text")]).alias("row"), "text")
     hot, bits = hottest(weights), bitmap(weights.select("key"), GRAM_BITS)
     shared = rows.sparkSession.sparkContext.broadcast((*hot, bits))
+    del hot, bits
     let_go(rows.sparkSession)  # what the bitmap's tasks shuffled need not lie beside the first part's grams
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -289,7 +290,9 @@ def document_logs(rows: DataFrame, base: float, weights: DataFrame, order: int,
         n = F.expr("size div alike")
         return keyed.drop("text").join(sums, "row").select("id", "lang", n.alias("n_grams"), (F.expr("got div alike") / float(SCALE) + n * base).alias("logp"))
 
-    return shelf.put("logs", *[logs(part) for part in by_part(keyed, "row")])
+    out = shelf.put("logs", *[logs(part) for part in by_part(keyed, "row")])
+    shared.destroy()
+    return out
 
 
 def score(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = 0.995, margin: float = 1.5, prior_words: int = 8, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -305,5 +308,10 @@ def score(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: floa
     return judged(told, told.where("trusted AND n_grams > 0").where(~in_learnt_half(F.col("id"))), quantile, margin, prior_words)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that :func:`score` keeps."""
+    return without_rejected(docs, score(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col), id_col)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
