@@ -61,6 +61,18 @@ def test_rows_and_cells_are_computed_once(done):
         assert not any(step in plan for step in ("Window", "Join", "Aggregate"))
 
 
+def test_lines_are_made_once(spark):
+    # tables and their titles read one set of lines, dealt out once
+    from tallyweave.operators import pages as pg
+
+    words = spark.createDataFrame(page(1, 0, [("11. NAKİT VARLIKLAR",), *MAIN]) + page(1, 1, NOTE), WORDS)
+    tables = pg.titled_tables(words, WIDTH)
+    assert tables._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    apart = pg.titles(pg.page_lines(words, WIDTH), pg.page_tables(words, WIDTH))
+    got = sorted(map(str, tables.select(*apart.columns).collect()))
+    assert got == sorted(map(str, apart.collect())) and any("NAKİT VARLIKLAR" in t for t in got)
+
+
 def test_no_words(spark):
     empty = fl.run(spark.createDataFrame([], WORDS), WIDTH, F.col("page") == 0)
     assert empty.relations.count() == empty.checks.count() == 0
