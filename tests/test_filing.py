@@ -73,6 +73,25 @@ def test_lines_are_made_once(spark):
     assert got == sorted(map(str, apart.collect())) and any("NAKİT VARLIKLAR" in t for t in got)
 
 
+def test_amounts_meet_within_a_document(spark):
+    # equal amounts of other documents, zeros among them, are no work: as many documents, as many times the pairs
+    from tallyweave.operators import linking as lk
+
+    kind = "doc_id bigint, id string, period string, p_ord int, value decimal(38,6)"
+    left = spark.createDataFrame([(d, f"{d}/l{i}", "p", 0, v) for d in range(30) for i, v in enumerate((0, 5, None))], kind.replace("decimal(38,6)", "int"))
+    right = spark.createDataFrame([(d, f"{d}/r", "p", 0, 5 * (d % 2)) for d in range(30)], kind.replace("decimal(38,6)", "int"))
+    decided = spark.createDataFrame([(d, f"{d}/l{i}", f"{d}/r") for d in range(30) for i in range(3)], "doc_id bigint, l_id string, r_id string")
+    got = lk.reconcile(decided, left, right, "doc_id")
+    want = {(f"{d}/l{i}"): "not_evaluable" if i == 2 else "pass" if i == d % 2 else "fail" for d in range(30) for i in range(3)}
+    assert {r.l_id: r.recon for r in got.collect()} == want and got.count() == 90
+    assert sorted(map(str, lk.reconcile(decided, left, right).select(*got.columns).collect())) == sorted(map(str, got.collect()))
+    rows = spark.createDataFrame([], "doc_id bigint, row_id string, label string, section boolean, n_cells int, role string, duration boolean, page int")
+    cells = spark.createDataFrame([], "doc_id bigint, row_id string, period string, col int, value decimal(38,6), state string")
+    plan = fl.decisions(rows, cells, F.col("page") == 0)._jdf.queryExecution().analyzed().toString()
+    on = [step for step in plan.splitlines() if "Join Inner" in step and "amount#" in step]
+    assert len(on) == 2 and all("doc_id#" in step for step in on)
+
+
 def test_no_words(spark):
     empty = fl.run(spark.createDataFrame([], WORDS), WIDTH, F.col("page") == 0)
     assert empty.relations.count() == empty.checks.count() == 0
